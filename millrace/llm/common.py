@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a Java and Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+CHUNK = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,3 +54,15 @@ def unit_from_md5(text: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of an MD5; SQL engines agree on it."""
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield a, i
+            a, size = i, 0
+        size += len(t) + 1
+    if a < len(texts):
+        yield a, len(texts)

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, url_filter
+from pyspark.sql import functions as F
+
+from . import exact_dedup, mixing, packing, simhash, token_files, url_filter
 from .common import read
+from .tokenizing import public_path
+
+#: The id that ends each document (a fixed value).
+END_ID = 2
 
 #: The rules that op3 applies (host, path, verdict).
 URL_RULES = [
@@ -17,6 +23,12 @@ URL_RULES = [
 ]
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write_token_files(read(spark, sf_dir, "documents"), path, public_path(), END_ID)
+    return token_files.token_file_digests(spark, path)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -31,10 +43,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_path(), END_ID)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return marked.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
+    "op10_simhash": op10_simhash,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
