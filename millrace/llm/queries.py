@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, token_files, url_filter
+from . import exact_dedup, mixing, packing, simhash, substring_dedup, token_files, url_filter
 from .common import read
 from .tokenizing import public_path
 
@@ -38,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
