@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, substring_dedup, token_files, url_filter
+from . import exact_dedup, html_extraction, media_copies, mixing, packing, simhash, substring_dedup, token_files, toxicity, url_filter
 from .common import read
 from .tokenizing import public_path
 
@@ -23,6 +26,51 @@ URL_RULES = [
 ]
 
 
+#: Side of the pictures that stand for vectors, and of the squares that they are drawn with.
+SIDE, SQUARE = 96, 6
+
+
+def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, edited, image: each vector as a grey picture, and edited copies of every twentieth.
+
+    There is no table of images. A vector's picture is the sum of fixed random patterns, one for
+    each component, weighted by it, so near vectors have near pictures. Ids divisible by 20 give a
+    second row: the picture cropped on all sides, with less contrast and more light. Null vectors
+    give null images.
+    """
+    id_type = vectors.schema[id_col].dataType.simpleString()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = np.zeros((0, SIDE * SIDE), np.float32)
+        for batch in batches:
+            images: list[bytes | None] = []
+            for vector, edited in zip(batch.column("vector"), batch.column("edited").to_pylist()):
+                v = np.nan_to_num(np.array(vector.as_py() or [], np.float32))
+                if not len(v):
+                    images.append(None)
+                    continue
+                while len(patterns) < len(v):
+                    squares = np.random.default_rng(len(patterns)).normal(0, 1, (SIDE // SQUARE, SIDE // SQUARE)).astype(np.float32)
+                    patterns = np.concatenate([patterns, squares.repeat(SQUARE, 0).repeat(SQUARE, 1).reshape(1, -1)])
+                grey = v @ patterns[: len(v)]
+                grey = np.clip(128 + 45 * grey.reshape(SIDE, SIDE) / max(float(grey.std()), 1e-9), 0, 255)
+                if edited:
+                    grey = np.clip(grey[5:-9, 8:-4] * 0.75 + 50, 0, 255)
+                images.append(b"P5 %d %d 255\n" % grey.shape[::-1] + grey.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("edited"), pa.array(images, pa.binary())], ["id", "edited", "image"])
+
+    twentieth = F.coalesce(F.col(id_col) % 20 == 0, F.lit(False))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.explode(F.when(twentieth, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("edited"))
+    return rows.mapInArrow(draw, f"id {id_type}, edited boolean, image binary")
+
+
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = pictures(read(spark, sf_dir, "embeddings"))
+    named = drawn.select(F.struct(F.col("id").alias("vec_id"), "edited").alias("row"), "image")
+    found = media_copies.find_image_copies(named, "row")
+    return found.select("row.vec_id", "row.edited", "n_features", F.col("component_id.vec_id").alias("component_id"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write_token_files(read(spark, sf_dir, "documents"), path, public_path(), END_ID)
@@ -51,18 +99,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_path(), END_ID)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_media_copies": op1_media_copies,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
