@@ -14,7 +14,7 @@ documents of the one slice that holds the cut.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, staged, unit_from_md5
@@ -39,40 +39,70 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return levels.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, slices: int, seed: str) -> list[Column]:
+    """id, source, size, draw and slice of a row."""
+    draw = unit_from_md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), F.floor(draw * slices).cast("int").alias("slice")]
+
+
+def _key(chance: Column) -> Column:
+    """Where a document stands in its source's ranking."""
+    odds = F.col("draw") / (1 - F.col("draw"))
+    return F.struct((odds / (chance / (1 - chance))).alias("rank"), (-F.col("size")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Of each source: plan_source, source_size, target, whole, chance, missing, and where its ranking is cut."""
+    targets = source_targets(sized, weights, most)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(ratio)
+    plan = targets.select(F.col("source").alias("plan_source"), "source_size", "target", whole.alias("whole"), (ratio - whole).alias("chance"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
+    # The chance is one for a whole source, so slices of the draw are also slices of the ranking.
+    sums = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("slice")
+    running = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
+    wanted = running.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).filter("chance > 0 AND before < missing AND missing <= before + words")
+    cuts = wanted.select(F.col("plan_source").alias("cut_source"), F.col("slice").alias("cut_slice"), F.col("before").alias("cut_before"), F.col("chance").alias("cut_chance"), F.col("missing").alias("cut_missing"))
+    in_cut = sized.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("slice") == F.col("cut_slice"))).withColumn("key", _key(F.col("cut_chance")))
+    reached = F.col("cut_before") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    # The document that crosses the target is taken if that comes nearer to it than leaving it.
+    over, under = reached - F.col("cut_missing"), F.col("cut_missing") - (reached - F.col("size"))
+    taken = in_cut.select("cut_source", "key", ((under > 0) & ((over <= 0) | (over < under))).alias("taken"))
+    last = taken.filter("taken").groupBy("cut_source").agg(F.max("key").alias("last"))
+    ends = cuts.select("cut_source", "cut_slice").join(last.withColumnRenamed("cut_source", "last_source"), F.col("cut_source").eqNullSafe(F.col("last_source")), "left")
+    return staged(plan.join(ends, F.col("plan_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "last_source"), "mix-plan")
+
+
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with the plan of their source and the number of copies."""
+    # One row for each source; more than this bound are joined by a shuffle.
+    side = F.broadcast(plan) if plan.count() <= 10_000 else plan
+    extra = F.col("chance").isNotNull() & (F.col("chance") > 0) & (F.col("missing") > 0)
+    inside = F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")) | ((F.col("slice") == F.col("cut_slice")) & F.coalesce(_key(F.col("chance")) <= F.col("last"), F.lit(False)))
+    return rows.join(side, F.col("source").eqNullSafe(F.col("plan_source")), "left").withColumn("copies", F.col("whole") + F.when(extra & inside, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+
+
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, slices: int = 1024, seed: str = "mix") -> DataFrame:
     """id, size, source, source_size, target, copies, taken: one row for each document.
 
     size counts words; null or empty texts have none and are taken as often as the source's whole
     copies. Null is a source of its own, after all others. Draws depend on the id and seed alone, so
-    reruns agree; rows with one id draw the same number, and ties are cut by size. An empty table
-    gives an empty result. Columns other than the three named are not looked at.
+    reruns agree; of one source, rows with one id rank by size, and rows that have both in common are
+    taken together. An empty table gives an empty result. Columns other than the three named are
+    not looked at.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    draw = unit_from_md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw")), "mix-sizes")
-    targets = source_targets(sized, weights, most)
+    sized = staged(docs.select(_drawn(docs, id_col, source_col, text_col, slices, seed)), "mix-sizes")
+    mixed = _copied(sized, _plan(sized, weights, most))
+    return mixed.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(ratio)
-    plan = targets.withColumn("whole", whole).withColumn("chance", ratio - whole).withColumn("missing", F.col("target") - whole * F.col("source_size"))
-    same = [F.col("d.source").eqNullSafe(F.col("p.source"))]
-    odds = F.col("draw") / (1 - F.col("draw"))
-    rank = F.when(F.col("chance") > 0, odds / (F.col("chance") / (1 - F.col("chance"))))
-    ranked = sized.alias("d").join(plan.alias("p"), same).select("id", "d.source", "size", "source_size", "target", "whole", "missing", rank.alias("rank"), F.floor(F.col("draw") * slices).cast("int").alias("slice"))
 
-    # The chance is one for a whole source, so slices of the draw are also slices of the rank.
-    sums = ranked.filter("rank IS NOT NULL").groupBy("source", "slice", "missing").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("slice")
-    cuts = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    cut_at = cuts.filter("before < missing AND missing <= before + words").select(F.col("source").alias("cut_source"), F.col("slice").alias("cut_slice"), F.col("before").alias("cut_before"))
-    dealt = ranked.join(cut_at, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    inside = (F.col("rank").isNotNull()) & (F.col("slice") == F.col("cut_slice"))
-    in_cut = dealt.filter(inside)
-    order = Window.partitionBy("source", "slice").orderBy("rank", F.col("size").desc(), F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("cut_before") + F.sum("size").over(order)
-    # The document that crosses the target is taken if that comes nearer to it than leaving it.
-    extra_in_cut = (reached - F.col("size") < F.col("missing")) & ((reached <= F.col("missing")) | (reached - F.col("missing") < F.col("missing") - (reached - F.col("size"))))
-    sliced = in_cut.withColumn("extra", extra_in_cut.cast("long"))
-    others = dealt.filter(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice"))) & (F.col("missing") > 0), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    copies = F.col("whole") + F.col("extra")
-    return others.unionByName(sliced).select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, slices: int = 1024, seed: str = "mix") -> DataFrame:
+    """The documents of the mix with all their columns, each as often as pareto_mix copies it.
+
+    Rows travel as one struct beside the plan of their source, so texts are not shuffled.
+    """
+    drawn = _drawn(docs, id_col, source_col, text_col, slices, seed)
+    sized = staged(docs.select(drawn), "mix-sizes")
+    copied = _copied(docs.select(F.struct("*").alias("row"), *drawn), _plan(sized, weights, most))
+    return copied.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
