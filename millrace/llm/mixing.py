@@ -33,8 +33,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     left_words = F.sum("source_size").over(everyone) - F.coalesce(F.sum("ceiling").over(before), F.lit(0))
     left_weight = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     levels = filled.withColumn("level", left_words / left_weight)
-    # The water level is that of the first source whose ceiling lies above it.
-    level = F.min(F.when(F.col("fills_at") >= F.col("level"), F.col("level"))).over(everyone)
+    # Levels rise up to the first source whose ceiling lies above them, and fall from there on.
+    level = F.max("level").over(everyone)
     target = F.when(F.col("fills_at") <= level, F.col("ceiling").cast("double")).otherwise(F.col("weight") * level)
     return levels.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 

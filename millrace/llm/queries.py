@@ -163,7 +163,7 @@ ORACLE_SQL = {
         levels AS (
             SELECT *, (sum(source_size) OVER ()::BIGINT - coalesce(sum(ceiling) OVER b, 0)::BIGINT)::DOUBLE / (sum(weight) OVER ()::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT)::DOUBLE AS level
             FROM filling WINDOW b AS (ORDER BY fills_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        water AS (SELECT min(level) AS level FROM levels WHERE fills_at >= level),
+        water AS (SELECT max(level) AS level FROM levels),
         plan AS (
             SELECT source, source_size, CASE WHEN fills_at <= water.level THEN ceiling::DOUBLE ELSE weight * water.level END AS target
             FROM levels, water),
