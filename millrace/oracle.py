@@ -24,7 +24,7 @@ O["agg_first_last"] = "SELECT user_id, arg_min(value, (ts, event_id)) AS first_v
 O["agg_sum_string"] = "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM events GROUP BY user_id"
 O["agg_sum_date"] = "SELECT user_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY ts, event_id) AS times FROM events GROUP BY user_id"
 O["agg_avg_date"] = "SELECT user_id, (sum(floor(epoch(ts))::BIGINT) // count(*))::BIGINT AS mean_seconds FROM events GROUP BY user_id"
-O["agg_minmax_string_date"] = "SELECT user_id, min(event_type) AS least_type, max(event_type) AS greatest_type, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms FROM events GROUP BY user_id"
+O["agg_minmax_string_date"] = "SELECT user_id, min(event_type) AS least_type, max(event_type) AS greatest_type, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY user_id"
 O["agg_running"] = """
 SELECT event_id, user_id, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) AS total,
        CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) / count(*) OVER w AS mean,
@@ -89,7 +89,7 @@ _PER_ORDER = f"(SELECT l_orderkey, count(*) AS lines, {_sum('l_quantity')} AS q
 O["chain_full"] = f"SELECT lines, count(*) AS orders, {_sum('q')} AS qty FROM {_PER_ORDER} GROUP BY 1"
 O["chain_delta"] = f"SELECT 1::BIGINT AS lines, count(*) AS rows, {_sum('l_quantity')} AS qty FROM lineitem"
 O["fanout_two_consumers"] = "SELECT user_id AS person, count(*) AS events, max(value) AS greatest FROM events GROUP BY 1"
-O["wire_roundtrip"] = "SELECT event_id, event_type, value, epoch_ms(ts) AS ms, props FROM events"
+O["wire_roundtrip"] = "SELECT event_id, event_type, value, epoch_us(ts) // 1000 AS ms, props FROM events"
 O["text_scheme"] = "SELECT text AS logInfo FROM documents"
 O["run_log_summary"] = "SELECT event_type, count(*) AS entries, sum(event_id % 97)::BIGINT AS total_elapsed, min(event_id % 97) AS least_elapsed, max(event_id % 97) AS greatest_elapsed FROM events GROUP BY 1"
 O["stream_agg"] = f"SELECT user_id, count(*) AS n, {_sum('value')} AS total, max(value) AS greatest, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FunctionRegistry
-from ..functions.types import default, typed
+from ..functions.types import spark_type, typed
 from ..operators.aggregate import Measure, aggregate, aggregate_inputs, deltas
 from ..operators.lookup import lookup_join
 from ..operators.merge import merge_latest
@@ -76,14 +77,20 @@ def key_parts(node: NodeSpec, f: FieldSpec) -> dict[int, str]:
     return found
 
 
-def _owner(node: NodeSpec, f: FieldSpec, inputs: Mapping[int, DataFrame], column: Column) -> int | None:
-    """The input that has all that a column reads; None if the value reads nothing at all."""
+def names_in(text: str, tables: Mapping[int, DataFrame]) -> set[str]:
+    """Columns of the inputs that a text names."""
+    known = {c for df in tables.values() for c in df.columns}
+    return known.intersection(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "''", text)))
+
+
+def _owner(node: NodeSpec, f: FieldSpec, inputs: Mapping[int, DataFrame]) -> int | None:
+    """The input that has all that a column names, -1 if none has; None for a count that names nothing."""
     if f.source is not None:
         return f.source
-    fits = [i for i, df in inputs.items() if resolves(df, column)]
-    if not fits:
-        return -1
-    return None if len(fits) == len(inputs) and len(inputs) > 1 and f.method == "COUNT" else fits[0]
+    names = names_in(f.value, inputs)
+    if not names and f.method == "COUNT":
+        return None
+    return next((i for i, df in inputs.items() if names.issubset(df.columns)), -1)
 
 
 def build_node(node: NodeSpec, inputs: Mapping[int, DataFrame], context: Context) -> NodeResult:
@@ -132,7 +139,7 @@ def _several(node: NodeSpec, tables: Mapping[int, DataFrame], keys: list[FieldSp
         if f.key:
             continue
         column = column_of(f.value, context.functions) if f.value else F.lit(1)
-        owner = _owner(node, f, tables, column)
+        owner = _owner(node, f, tables)
         if owner is None:
             everywhere.append(f)
         elif owner == -1:
@@ -168,15 +175,11 @@ def _several(node: NodeSpec, tables: Mapping[int, DataFrame], keys: list[FieldSp
 
 
 def default_type(f: FieldSpec) -> str:
-    from ..functions.types import spark_type
-
     return spark_type(f.type).simpleString()
 
 
 def _qualified(text: str, tables: Mapping[int, DataFrame]) -> str:
     """A deferred text with each column under the name that its input's newest row has it by."""
-    import re
-
     owner = {c: i for i in reversed(list(tables)) for c in tables[i].columns}
     return re.sub(r"\b[A-Za-z_]\w*\b", lambda m: f"`_{owner[m[0]]}_{m[0]}`" if m[0] in owner else m[0], text)
 
@@ -219,4 +222,4 @@ def changed(old: Sequence[NodeSpec], new: Sequence[NodeSpec]) -> set[int]:
     return found
 
 
-__all__ = ["Context", "NodeResult", "build_graph", "build_node", "changed", "default"]
+__all__ = ["Context", "NodeResult", "build_graph", "build_node", "changed"]
