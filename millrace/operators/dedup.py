@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free_prefix
+
 # Units of a bucket rule ``type:interval`` in seconds, and the interval it has if none is given.
 UNITS = {1: (60, 30), 2: (3600, 1), 3: (86400, 1)}
 
@@ -36,6 +38,7 @@ def first_in_bucket(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     Equality is that of the keys themselves (nulls equal each other). Rows are combined before the
     shuffle, so a key with very many repeats sends one row from each task.
     """
+    df = df.drop("bucket")
     bucketed = df.withColumn("bucket", bucket_start(F.col(ts), rule))
     found = bucketed.groupBy("bucket", *keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"))
     return found.select(*(F.col(f"_first.{c}").alias(c) for c in df.columns), "bucket")
@@ -43,10 +46,12 @@ def first_in_bucket(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
 
 def seen_before(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], rule: str = "2:1") -> DataFrame:
     """Every row with bucket and seen: whether an earlier row of its bucket has its keys."""
+    df = df.drop("bucket", "seen")
+    own = free_prefix(df.columns)
     bucketed = df.withColumn("bucket", bucket_start(F.col(ts), rule))
-    firsts = bucketed.groupBy("bucket", *keys).agg(F.min(F.struct(*order)).alias("_first")).select(F.col("bucket").alias("_bucket"), *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_first")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("bucket").eqNullSafe(F.col("_bucket"))])
-    return bucketed.join(firsts, same, "left").select(*df.columns, "bucket", (F.struct(*order) > F.col("_first")).alias("seen"))
+    firsts = bucketed.groupBy("bucket", *keys).agg(F.min(F.struct(*order)).alias(f"{own}first")).select(F.col("bucket").alias(f"{own}bucket"), *(F.col(k).alias(f"{own}key{i}") for i, k in enumerate(keys)), f"{own}first")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{own}key{i}")) for i, k in enumerate(keys)] + [F.col("bucket").eqNullSafe(F.col(f"{own}bucket"))])
+    return bucketed.join(firsts, same, "left").select(*df.columns, "bucket", (F.struct(*order) > F.col(f"{own}first")).alias("seen"))
 
 
 def contains(df: DataFrame, known: DataFrame, keys: Sequence[str], ts: str, rule: str = "2:1") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import default
+from .names import free_prefix
 
 
 def unique_rows(lookup: DataFrame, key: Sequence[str], order: Sequence[str] = (), check: str | None = None) -> DataFrame:
@@ -34,10 +35,11 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], take: M
     """
     small = lookup.select(*dict.fromkeys([*on.values(), *take.values(), *order, *lookup_columns(lookup, check)]))
     unique = unique_rows(small, list(on.values()), order, check)
-    side = unique.select(*(F.col(k).alias(f"_on{i}") for i, k in enumerate(on.values())), *(F.col(c).alias(f"_take{i}") for i, c in enumerate(take.values())))
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_on{i}") for i, c in enumerate(on)])
+    own = free_prefix(df.columns)
+    side = unique.select(*(F.col(k).alias(f"{own}on{i}") for i, k in enumerate(on.values())), *(F.col(c).alias(f"{own}take{i}") for i, c in enumerate(take.values())))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{own}on{i}") for i, c in enumerate(on)])
     types = types or {}
-    taken = [(F.coalesce(F.col(f"_take{i}"), default(types[n])) if n in types else F.col(f"_take{i}")).alias(n) for i, n in enumerate(take)]
+    taken = [(F.coalesce(F.col(f"{own}take{i}"), default(types[n])) if n in types else F.col(f"{own}take{i}")).alias(n) for i, n in enumerate(take)]
     return df.join(side, same, "left").select(*(F.col(c) for c in df.columns if c not in take), *taken)
 
 

@@ -68,7 +68,7 @@ def running_stream(df: DataFrame, key: str, order: Sequence[str], value: str) ->
 
 def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """What a query has done: a row for each finished batch of those Spark remembers."""
-    rows = [(str(p["name"] or p["id"]), int(p["batchId"]), s.get("description", ""), int(s.get("numInputRows") or 0), float(s.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0))) for p in query.recentProgress for s in p["sources"]]
+    rows = [(str(p.name or p.id), int(p.batchId), str(s.description), int(s.numInputRows or 0), float(s.processedRowsPerSecond or 0.0), int(p.durationMs.get("triggerExecution", 0))) for p in query.recentProgress for s in p.sources]
     return spark.createDataFrame(rows, "query string, batch long, source string, rows long, rows_per_second double, elapsed_ms long")
 
 
