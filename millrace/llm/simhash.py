@@ -275,8 +275,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = F.col("component_id").eqNullSafe(F.col("c")) & F.col("no_id").eqNullSafe(F.col("f"))
     dropped = near.join(keepers, same).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))))
     dropped = dropped.select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash")).distinct()
-    on = docs[id_col].eqNullSafe(F.col("drop_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("drop_hash"))
-    return docs.join(dropped, on, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"))
+    on = F.col("row_id").eqNullSafe(F.col("drop_id")) & (F.col("row_hash") == F.col("drop_hash"))
+    return rows.join(dropped, on, "left_anti").select("row.*")
 
 
 def similar_radius(similarity: float, width: int) -> int:

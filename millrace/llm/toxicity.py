@@ -181,8 +181,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     totals = {r.y: r.n for r in rated.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
     picked = [rated.filter(F.col("y") == y).orderBy(F.xxhash64("rated_id"), "rated_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # twice per_class rows at most
-    texts = docs.filter(F.length(text_col) <= longest).join(sample, F.col(id_col) == F.col("rated_id"))
-    rows = sorted(texts.select("rated_id", text_col, "y").collect(), key=lambda r: (str(r[0]), r[1]))
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).filter(F.length("own_text") <= longest)
+    found = texts.join(sample, F.col("own_id") == F.col("rated_id")).select("rated_id", "own_text", "y")
+    rows = sorted(found.collect(), key=lambda r: (str(r[0]), r[1]))
     y = np.array([r.y for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
