@@ -44,12 +44,12 @@ def test_running_over_batches(spark, tmp_path):
 def test_restart_goes_on_and_progress_is_reported(spark, tmp_path):
     folder, events = several_files(spark, tmp_path)
     counts = []
-    for _ in range(2):
+    for k in range(2):
         query = start(table_stream(spark, folder, "events", 1).select("event_id"), lambda rows, batch: counts.append(rows.count()), str(tmp_path / "checkpoint"), "append")
         query.awaitTermination()
-        if len(counts) == 3:
+        if k == 0:
             seen = progress(spark, query).collect()
-            assert sorted({r.batch for r in seen}) == [0, 1, 2] and all(r.elapsed_ms >= 0 for r in seen)
+            assert sorted({r.batch for r in seen}) == [0, 1, 2] and sum(r.rows for r in seen) == events.count()
     assert sum(counts) == events.count()
 
 
