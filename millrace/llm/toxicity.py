@@ -88,19 +88,30 @@ class Scorer:
         return out
 
 
+def _features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features of many words, in narrow integers and made bit by bit."""
+    parts = [word_features(words[i : i + 8192], bits) for i in range(0, len(words), 8192)]
+    sizes = np.concatenate([np.diff(starts) for _, _, starts in parts])
+    return np.concatenate([b.astype(np.int32) for b, _, _ in parts]), np.concatenate([g.astype(np.int32) for _, g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
 def _suspicion(of_text: list[np.ndarray], labels: np.ndarray, words: list[bytes]) -> np.ndarray:
     """For each word the most significant excess, among texts of label 1, of the word or of one of its grams."""
-    buckets, grams, starts = word_features(words, 20)
-    tokens = np.concatenate([buckets[:, 0] + (1 << 20), grams])
-    order = np.argsort(np.concatenate([np.arange(len(words)), np.repeat(np.arange(len(words)), np.diff(starts))]), kind="stable")
-    tokens, first = tokens[order], starts + np.arange(len(starts))  # of each word: itself, then its grams
+    buckets, grams, starts = _features(words, 20)
+    first = starts + np.arange(len(starts), dtype=np.int32)  # of each word: itself, then its grams
+    tokens = np.empty(first[-1], np.int32)
+    own = np.zeros(first[-1], bool)
+    own[first[:-1]] = True
+    tokens[own], tokens[~own] = buckets[:, 0] + (1 << 20), grams
+    del buckets, grams, own
     seen = np.zeros((2, 2 << 20), np.float32)
     for ids, y in zip(of_text, labels):
         present = np.unique(ids)
         seen[y, np.unique(np.concatenate([tokens[first[i] : first[i + 1]] for i in present]))] += 1
     n = np.bincount(labels, minlength=2) + 1
-    excess = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
-    excess /= np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    seen += np.float32(0.5)
+    excess = np.log(seen[1] / np.float32(n[1])) - np.log(seen[0] / np.float32(n[0]))
+    excess /= np.sqrt(1 / seen[1] + 1 / seen[0])
     return np.maximum.reduceat(excess[tokens], first[:-1])
 
 
@@ -113,9 +124,10 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds
     net, bits, window = model["net"], model["bits"], model["window"]
     draw = np.random.default_rng(seed)
     index: dict[bytes, int] = {b"": 0}
-    of_text = [np.array([index.setdefault(w, len(index)) for w in chain.from_iterable(text_words(t))] or [0], np.int64) for t in texts]
+    of_text = [np.array([index.setdefault(w, len(index)) for w in chain.from_iterable(text_words(t))] or [0], np.int32) for t in texts]
     words = list(index)
-    buckets, grams, starts = word_features(words, bits)
+    del index
+    buckets, grams, starts = _features(words, bits)
     # Windows of label 1 are laid closely, so that a word to blame is seen at many places.
     of_window = [windows_of(ids, window, window // 8 if y else model["stride"]) for ids, y in zip(of_text, labels)]
     rows = np.concatenate(of_window)
@@ -123,6 +135,8 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds
     first = np.searchsorted(owner, np.arange(len(texts)))
     of_label = labels[owner]
     every_negative = np.flatnonzero(of_label == 0)
+    doubt = _suspicion(of_text, labels, words)
+    del of_text, of_window
     optimizer = Adam(net, 0.01, 0.1)
 
     def train(positive: np.ndarray, negative: np.ndarray) -> None:
@@ -133,7 +147,7 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds
             length = starts[present + 1] - starts[present]
             cuts = np.concatenate([[0], np.cumsum(length)])
             spans = grams[np.arange(cuts[-1]) + np.repeat(starts[present] - cuts[:-1], length)]
-            optimizer.step(gradients(net, (buckets[present], spans, cuts), windows.reshape(window, batch), target, np.ones(batch, np.float32)))
+            optimizer.step(gradients(net, (buckets[present].astype(np.int64), spans.astype(np.int64), cuts), windows.reshape(window, batch), target, np.ones(batch, np.float32)))
 
     def place(scores: np.ndarray) -> np.ndarray:
         """Of each window among its text's, the highest score first."""
@@ -142,7 +156,7 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds
         out[order] = np.arange(len(order))
         return out - first[owner]
 
-    at = place(_suspicion(of_text, labels, words)[rows].max(1))
+    at = place(np.concatenate([doubt[rows[i : i + 4096]].max(1) for i in range(0, len(rows), 4096)]))
     train(np.flatnonzero((of_label == 1) & (at < 4)), every_negative)
     for _ in range(rounds):
         halves = [projected(net, words[i : i + 8192], bits) for i in range(0, len(words), 8192)]
@@ -168,7 +182,7 @@ def _scale(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[
     return max(slope, 0.05), offset
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1600, longest: int = 20_000, window: int = 32, stride: int = 24, steps: int = 100, rounds: int = 2, batch: int = 192, seed: int = 7, shape: Shape | None = None) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1200, longest: int = 20_000, window: int = 32, stride: int = 24, steps: int = 100, rounds: int = 2, batch: int = 192, seed: int = 7, shape: Shape | None = None) -> dict:
     """A model for score_toxicity, learned from labels of ids that are not held out.
 
     The sample is bounded: at most ``per_class`` ids of each label, in the order of a hash of the
