@@ -19,7 +19,7 @@ def fill(sizes, weights=(5, 2, 1), most=3):
 
 
 def corpus(counts):
-    return [(100 * k + i, s, prose(k * 1000 + i, 1 + (i * 37) % 60)) for k, (s, n) in enumerate(counts) for i in range(n)]
+    return [(10_000 * k + i, s, prose(k * 1000 + i, 1 + (i * 37) % 60)) for k, (s, n) in enumerate(counts) for i in range(n)]
 
 
 def check(spark, counts):
