@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_dir, staged, unstage
+from .common import chunks, shared_dir, staged, unstage
 from .tokenizing import encoder
 
 #: Lengths of the four codes that a control byte describes, and the bits that a code of a length has.
@@ -87,8 +88,9 @@ def rank_ids(encoded: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray
         coder = encoder(tokenizer_path)
         total = np.zeros(max(coder.size, end_id + 1), np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), coder.kind), minlength=len(total))
+            ids = batch.column("ids").to_pylist()
+            for a, b in chunks(ids):
+                total += np.bincount(np.frombuffer(b"".join(ids[a:b]), coder.kind), minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
@@ -124,6 +126,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     coded = placed.mapInArrow(code, f"shard int, doc_id {id_type}, start long, n_tokens long, control binary, data binary")
     coded.sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{path}/ids")
+    coded.drop("shard").limit(0).write.parquet(f"{path}/layout")  # of a set without documents
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(by_rank.tolist())], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     unstage(encoded)
 
@@ -133,7 +136,8 @@ def _decoded(spark: SparkSession, path: str, column: str, kind: str, of_ids) ->
     for r in spark.read.parquet(f"{path}/ranks").collect():  # as many rows as the vocabulary has
         table[r["rank"]] = r["id"]
     ids = spark.sparkContext.broadcast(table)
-    files = spark.read.parquet(f"{path}/ids")
+    layout = spark.read.parquet(f"{path}/layout").schema
+    files = spark.read.schema(layout.add("shard", T.IntegerType())).parquet(f"{path}/ids")
     id_type = files.schema["doc_id"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
