@@ -280,16 +280,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(dropped, on, "left_anti").select("row.*")
 
 
-def similar_radius(similarity: float, width: int) -> int:
-    """Differing bits that texts with this share of common shingles (Jaccard) have on average."""
-    return round(width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def similar_radius(similarity: float, width: int, deviations: float = 0.0) -> int:
+    """Differing bits that texts with this share of common shingles (Jaccard) have on average, and
+    so many standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(width * share + deviations * math.sqrt(width * share * (1 - share)))
 
 
-def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 256, key_bits: int = 22, shards: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 256, deviations: float = 1.0, key_bits: int = 20, shards: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """drop_near_duplicates with wide fingerprints of long shingles, for a similarity of texts.
 
-    Two texts are linked if their fingerprints differ in at most the bits that this similarity has
-    on average. A radius so wide needs random shards: of pairs at the radius the default ones bring
-    82% together, at nine tenths of similarity 99.7%; a group's other members may still link a pair.
+    Fingerprints estimate the similarity, so the radius lies ``deviations`` above the bits that it
+    has on average: copies are rather found than missed. A radius so wide needs random shards: two
+    fingerprints at distance d meet in one with chance 1 - (1 - (1 - d / width) ** key_bits) ** shards,
+    and a group's other members may still link a pair that does not meet.
     """
-    return drop_near_duplicates(docs, id_col, text_col, words=words, width=width, radius=similar_radius(similarity, width), shards=sampled_shards(width, key_bits, shards))
+    return drop_near_duplicates(docs, id_col, text_col, words=words, width=width, radius=similar_radius(similarity, width, deviations), shards=sampled_shards(width, key_bits, shards))
