@@ -27,7 +27,7 @@ URL_RULES = [
 
 
 #: Side of the pictures that stand for vectors, and of the squares that they are drawn with.
-SIDE, SQUARE = 96, 6
+SIDE, SQUARE = 96, 3
 
 
 def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
