@@ -114,6 +114,51 @@ def window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray,
     return (states @ p["out"] * weight).sum(0) + p["out_bias"]
 
 
+def every_window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray, ids: np.ndarray, window: int, block: int = 2048) -> np.ndarray:
+    """window_logits of the windows from each word of ids on, the last at the end; ids fill one window at least.
+
+    Windows that follow each other read the same words one step apart, so a block's words are looked
+    up once. States hold a row for each unit; logistic and tanh are both taken from exp.
+    """
+    h = p["again"].shape[1]
+    scale = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])[:, None]  # 1 / (1 + exp(-x)), 1 - 2 / (1 + exp(2x))
+    again = np.ascontiguousarray(p["again"].transpose(0, 2, 1)) * scale
+    read = np.stack([p["attend"].reshape(2, h), p["out"].reshape(2, h)], 1)
+    out = np.empty(len(ids) - window + 1, np.float32)
+    one = np.float32(1)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(out), block):
+            n = min(block, len(out) - start)
+            some = ids[start : start + n + window - 1]
+            into = [np.ascontiguousarray(table[some].T) * scale for table in (forth, back)]
+            state = np.zeros((2, h, n), np.float32)
+            gates, both, new = np.empty((2, 3 * h, n), np.float32), np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32)
+            found = np.empty((2, window, 2, n), np.float32)
+            for t in range(window):
+                np.matmul(again, state, out=gates)
+                x = [side[:, at : at + n] for side, at in zip(into, (t, window - 1 - t))]
+                for k in (0, 1):
+                    np.add(gates[k, : 2 * h], x[k][: 2 * h], out=both[k])
+                np.exp(both, out=both)
+                both += one
+                np.divide(one, both, out=both)
+                np.multiply(gates[:, 2 * h :], both[:, h:], out=new)
+                for k in (0, 1):
+                    new[k] += x[k][2 * h :]
+                np.exp(new, out=new)
+                new += one
+                np.divide(np.float32(-2), new, out=new)
+                new += one
+                state -= new
+                state *= both[:, :h]
+                state += new
+                found[0, t], found[1, window - 1 - t] = np.matmul(read, state)
+            weight, value = (found[0] + found[1]).transpose(1, 0, 2)
+            weight = np.exp(weight - weight.max(0))
+            out[start : start + n] = (value * weight).sum(0) / weight.sum(0) + p["out_bias"]
+    return out
+
+
 def _scatter(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the rows of values by their place."""
     return np.stack([np.bincount(at, c, size) for c in values.T], 1).astype(np.float32)

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK, chunks
-from .gru import LONGEST_WORD, Adam, Shape, gradients, new_parameters, projected, window_logits, windows_of, word_features
+from .gru import LONGEST_WORD, Adam, Shape, every_window_logits, gradients, new_parameters, projected, window_logits, windows_of, word_features
 
-#: Windows that are scored together.
+#: Windows of the training sample that are scored together.
 BATCH = 768
 
 
@@ -71,20 +71,21 @@ class Scorer:
         return np.array(found, np.int32)
 
     def logits(self, texts: list[bytes]) -> list[float]:
-        """The largest window logit of each text."""
+        """The largest logit of each text's windows, of which one starts at every word that has a whole window."""
         out: list[float] = []
         for a, b in chunks(texts):
             if len(self.index) > self.remember:
                 self._forget()
             split = [list(chain.from_iterable(text_words(t))) for t in texts[a:b]]
             flat = self._ids(list(chain.from_iterable(split)))
-            window, stride = self.model["window"], self.model["stride"]
+            window = self.model["window"]
             cuts = np.cumsum([0, *map(len, split)])
-            all_windows = [windows_of(flat[i:j] if j > i else np.zeros(1, np.int32), window, stride) for i, j in zip(cuts, cuts[1:])]
-            first = np.cumsum([0, *map(len, all_windows)])[:-1]
-            rows = np.concatenate(all_windows)
-            scores = np.concatenate([window_logits(self.model["net"], *self.tables, rows[i : i + BATCH].T) for i in range(0, len(rows), BATCH)])
-            out += np.maximum.reduceat(scores, first).tolist()
+            own = [np.resize(flat[i:j], window) if 0 < j - i < window else flat[i:j] if j > i else np.zeros(window, np.int32) for i, j in zip(cuts, cuts[1:])]
+            last = np.cumsum([len(ids) for ids in own])
+            # Windows that reach into the next text are passed over: every other span between the bounds.
+            scores = every_window_logits(self.model["net"], *self.tables, np.concatenate(own), window)
+            bounds = np.stack([np.concatenate([[0], last[:-1]]), last - window + 1], 1).reshape(-1)
+            out += np.maximum.reduceat(scores, bounds[:-1])[::2].tolist()
         return out
 
 
@@ -115,8 +116,8 @@ def _suspicion(of_text: list[np.ndarray], labels: np.ndarray, words: list[bytes]
     return np.maximum.reduceat(excess[tokens], first[:-1])
 
 
-def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds: int, batch: int, seed: int) -> None:
-    """The windows to blame for a text's label 1 are learned, against all windows of label 0.
+def _fit(model: dict, texts: list[bytes], labels: np.ndarray, stride: int, steps: int, rounds: int, batch: int, seed: int) -> None:
+    """The windows to blame for a text's label 1 are learned, against windows of label 0 laid ``stride`` apart.
 
     Those are first the ones with the most suspicious word, later the ones that score highest;
     of label 0, windows that score high are learned more often than others.
@@ -129,7 +130,7 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, steps: int, rounds
     del index
     buckets, grams, starts = _features(words, bits)
     # Windows of label 1 are laid closely, so that a word to blame is seen at many places.
-    of_window = [windows_of(ids, window, window // 8 if y else model["stride"]) for ids, y in zip(of_text, labels)]
+    of_window = [windows_of(ids, window, window // 8 if y else stride) for ids, y in zip(of_text, labels)]
     rows = np.concatenate(of_window)
     owner = np.repeat(np.arange(len(texts)), [len(w) for w in of_window])
     first = np.searchsorted(owner, np.arange(len(texts)))
@@ -187,7 +188,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The sample is bounded: at most ``per_class`` ids of each label, in the order of a hash of the
     id, and of those the texts of at most ``longest`` characters. An id with several labels counts
-    as 1 if one of them is; null labels and ids are passed over. Without labelled texts of both
+    as 1 if one of them is; null labels and ids are passed over. ``stride`` only spaces the windows of
+    label 0 that are learned from; scoring takes them all. Without labelled texts of both
     kinds the model gives every text the share of 1 among them (0 if there are none).
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -203,11 +205,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return {"constant": float(y.mean()) if len(y) else 0.0}
     raw = [r[1].encode() for r in rows]
     shape = shape or Shape()
-    model = {"net": new_parameters(shape, seed), "bits": shape.bits, "window": window, "stride": stride}
+    model = {"net": new_parameters(shape, seed), "bits": shape.bits, "window": window}
     aside = np.arange(len(y)) % 6 == 0  # to scale by
     if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
         aside = np.zeros(len(y), bool)
-    _fit(model, [t for t, a in zip(raw, aside) if not a], y[~aside], steps, rounds, batch, seed)
+    _fit(model, [t for t, a in zip(raw, aside) if not a], y[~aside], stride, steps, rounds, batch, seed)
     judged = aside if aside.any() else ~aside
     logits = np.array(Scorer(model).logits([t for t, j in zip(raw, judged) if j]))
     share = np.array([totals.get(k, 0) / max(1, (y[judged] == k).sum()) for k in (0, 1)])
@@ -219,7 +221,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1), predicted (1 if score >= 0.5): one row for each row.
 
-    All overlapping windows of the whole text are scored, and the worst counts. Null text counts as
+    All overlapping windows of the whole text are scored, one from each word on, and the worst counts. Null text counts as
     empty; an empty text is scored as one empty word. Very long texts are read piece by piece.
     Repeated rows get equal scores. Ids are only carried along, other columns not looked at. An
     empty table gives an empty result.

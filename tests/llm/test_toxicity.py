@@ -84,6 +84,18 @@ def test_forward_is_the_network():
     assert np.allclose(window_logits(p, *tables, windows), _reference(p, tables, windows), atol=1e-5)
 
 
+def test_every_window_of_a_text_is_scored():
+    shape = Shape(4, 6, 6, 8)
+    model = {"net": new_parameters(shape, 3), "bits": shape.bits, "window": 32}
+    texts = [" ".join(prose(i, n).split()[:n]).encode() for i, n in enumerate((700, 33, 32, 31, 1, 57, 2500))] + [b"", b"x" * 100]
+    want = []
+    for text in texts:
+        words = [w for part in text_words(text) for w in part] or [b""]
+        windows = windows_of(np.arange(len(words)), 32, 1)
+        want.append(window_logits(model["net"], *projected(model["net"], words, shape.bits), windows.T).max())
+    assert np.allclose(Scorer(model).logits(texts), want, atol=1e-5)
+
+
 def test_windows_cover_every_word():
     for n in (1, 5, 31, 32, 33, 56, 57, 200):
         ids = np.arange(n)
