@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -64,11 +65,18 @@ class Encoder:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
+    def _ends_in_letter(self, core: bytes) -> bool:
+        """Whether a letter or number is last as the tokenizer reads the word: some letters become one with a mark."""
+        text = core.decode("utf-8", "replace")
+        if text[-1].isalnum() and self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return unicodedata.category(text[-1:] or " ")[0] in "LN"
+
     def _learn(self, missing: set[bytes]) -> None:
         words, parts, plain, odd = self.words, {}, set(), set()
         for word in missing:
             core = word.rstrip(TAIL)
-            if len(core) < len(word) and core and (core[-1:].isalnum() or core.decode("utf-8", "replace")[-1].isalnum()):
+            if len(core) < len(word) and core and (core[-1:].isalnum() or self._ends_in_letter(core)):
                 parts[word] = core
                 tail = word[len(core) :]
                 if tail not in words:

@@ -41,6 +41,15 @@ def test_words_encode_like_whole_texts(text):
     assert np.frombuffer(coder.encode([text.encode()])[0], coder.kind).tolist() == want
 
 
+def test_letters_that_end_in_a_mark_once_normalised():
+    coder = encoder(PATH)
+    ends = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalnum()]
+    words = [f"{w}{tail}" for w in ["FENERBAHÇELİ", *(f"ab{c}" for c in ends)] for tail in (".", ",!")]
+    whole = [e.ids for e in coder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    got = [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode([w.encode() for w in words])]
+    assert [w for w, a, b in zip(words, got, whole) if a != b] == []
+
+
 def test_token_files(spark, tmp_path, encode):
     docs = edge_docs(spark)
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
