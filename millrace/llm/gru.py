@@ -1,8 +1,12 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-A window of words is read in both directions. A word's input is the sum of two hashed word vectors
-beside the scaled sum of its hashed character 3- to 5-grams, so words that share only letters share
-strength. Attention pools the states of a window; a linear layer gives its logit.
+A window of words is read in both directions. A word's input is the sum of two hashed word vectors,
+the scaled sum of its hashed character 3- to 5-grams, so words that share only letters share
+strength, and what a table of counts says of the word and of its grams. Attention pools the states
+of a window; a linear layer gives its logit.
+
+Gates and states are squashed by x / (1 + abs(x)), which costs a third of exp in numpy: the gates
+by half of one more than that.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ EDGES = b".,;:!?\"'()[]{}<>*%&$#-_"
 LONGEST_WORD = 64
 GRAMS = (3, 4, 5)
 GRAM_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Columns of an input that counts give.
+COUNTED = 2
 
 
 class Shape:
@@ -27,11 +33,11 @@ class Shape:
 
 def new_parameters(shape: Shape, seed: int) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
-    h, d = shape.hidden, shape.word_dim + shape.char_dim
+    h, d = shape.hidden, shape.word_dim + shape.char_dim + COUNTED
     normal = lambda scale, *size: draw.normal(0, scale, size).astype(np.float32)
     return {
-        "words": normal(0.2, 1 << shape.bits, shape.word_dim),
-        "chars": normal(0.1, 1 << shape.bits, shape.char_dim),
+        "words": normal(0.05, 1 << shape.bits, shape.word_dim),
+        "chars": normal(0.025, 1 << shape.bits, shape.char_dim),
         "into": normal(d**-0.5, d, 6 * h),
         "bias": np.zeros(6 * h, np.float32),
         "again": normal(h**-0.5, 2, h, 3 * h),
@@ -41,12 +47,10 @@ def new_parameters(shape: Shape, seed: int) -> dict[str, np.ndarray]:
     }
 
 
-def word_features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: two buckets of word vectors; the buckets of its character grams, and where they start."""
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word a 64-bit hash; 32-bit hashes of its character grams, and where a word's start."""
     cores = [w.strip(EDGES) or w for w in words]
     hashes = np.array([xxhash.xxh64_intdigest(c) for c in cores], np.uint64)
-    last = np.uint64((1 << bits) - 1)
-    buckets = np.stack([hashes & last, hashes >> np.uint64(32) & last], 1).astype(np.int64)
     marked = [f"\x02{c.decode('utf-8', 'replace')}\x03" if c else "\x02\x01\x03" for c in cores]
     length = np.array([len(m) for m in marked], np.int64)
     letters = np.frombuffer("".join([*marked, "\0" * max(GRAMS)]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -60,125 +64,97 @@ def word_features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray
         if k + 1 in GRAMS:
             whole = at + k + 1 <= end
             owners.append(word[whole])
-            grams.append((code[whole] * GRAM_MULTIPLIER >> np.uint64(64 - bits)).astype(np.int64))
+            grams.append((code[whole] * GRAM_MULTIPLIER >> np.uint64(32)).astype(np.uint32))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return buckets, np.concatenate(grams)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return hashes, np.concatenate(grams)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def word_inputs(p: dict[str, np.ndarray], hashes: np.ndarray, grams: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    a, b, chars = _buckets(p, hashes, grams)
+    letters = np.add.reduceat(p["chars"][chars], starts[:-1]) / np.sqrt(np.diff(starts))[:, None].astype(np.float32)
+    return np.concatenate([p["words"][a] + p["words"][b], letters, counted], 1)
 
 
-def word_inputs(p: dict[str, np.ndarray], buckets: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    chars = np.add.reduceat(p["chars"][grams], starts[:-1]) / np.sqrt(np.diff(starts))[:, None].astype(np.float32)
-    return np.concatenate([p["words"][buckets[:, 0]] + p["words"][buckets[:, 1]], chars], 1)
+def _buckets(p: dict[str, np.ndarray], hashes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two word vectors and of the grams' vectors."""
+    last = np.uint64(len(p["words"]) - 1)
+    return (hashes & last).astype(np.int64), (hashes >> np.uint64(32) & last).astype(np.int64), (grams & np.uint32(len(p["chars"]) - 1)).astype(np.int64)
 
 
-def projected(p: dict[str, np.ndarray], words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def projected(p: dict[str, np.ndarray], hashes: np.ndarray, grams: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What each word adds to the gates of the two directions."""
-    both = word_inputs(p, *word_features(words, bits)) @ p["into"] + p["bias"]
+    both = word_inputs(p, hashes, grams, starts, counted) @ p["into"] + p["bias"]
     half = both.shape[1] // 2
     return np.ascontiguousarray(both[:, :half]), np.ascontiguousarray(both[:, half:])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+def _squashed(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
 
 
-def window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Logits of windows (T x N indexes of words, whose projections forth and back hold)."""
-    steps, n = windows.shape
-    h = p["again"].shape[1]
-    state = np.zeros((2, n, h), np.float32)
-    states = np.empty((steps, n, 2 * h), np.float32)
-    into = np.empty((2, n, 3 * h), np.float32)
-    for t in range(steps):
-        np.take(forth, windows[t], 0, into[0], "clip")
-        np.take(back, windows[steps - 1 - t], 0, into[1], "clip")
-        gates = state @ p["again"]
-        into[:, :, : 2 * h] += gates[:, :, : 2 * h]
-        both = _sigmoid(into[:, :, : 2 * h])
-        new = gates[:, :, 2 * h :]
-        new *= both[:, :, h:]
-        new += into[:, :, 2 * h :]
-        np.tanh(new, out=new)
-        state -= new
-        state *= both[:, :, :h]
-        state += new
-        states[t, :, :h], states[steps - 1 - t, :, h:] = state[0], state[1]
-    weight = states @ p["attend"]
-    weight -= weight.max(0)
-    np.exp(weight, out=weight)
-    weight /= weight.sum(0)
-    return (states @ p["out"] * weight).sum(0) + p["out_bias"]
-
-
-def every_window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray, ids: np.ndarray, window: int, block: int = 2048) -> np.ndarray:
-    """window_logits of the windows from each word of ids on, the last at the end; ids fill one window at least.
+def every_window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray, ids: np.ndarray, window: int, block: int = 4096) -> np.ndarray:
+    """Logits of the windows from each word of ids on, the last at the end; ids fill one window at least.
 
     Windows that follow each other read the same words one step apart, so a block's words are looked
-    up once. States hold a row for each unit; logistic and tanh are both taken from exp.
+    up once. States hold a row for each unit. Gates are kept doubled, so halves go into the weights.
     """
     h = p["again"].shape[1]
-    scale = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])[:, None]  # 1 / (1 + exp(-x)), 1 - 2 / (1 + exp(2x))
-    again = np.ascontiguousarray(p["again"].transpose(0, 2, 1)) * scale
+    again = np.ascontiguousarray(p["again"].transpose(0, 2, 1))
+    again[:, 2 * h :] *= np.float32(0.5)
     read = np.stack([p["attend"].reshape(2, h), p["out"].reshape(2, h)], 1)
     out = np.empty(len(ids) - window + 1, np.float32)
-    one = np.float32(1)
-    with np.errstate(over="ignore"):
-        for start in range(0, len(out), block):
-            n = min(block, len(out) - start)
-            some = ids[start : start + n + window - 1]
-            into = [np.ascontiguousarray(table[some].T) * scale for table in (forth, back)]
-            state = np.zeros((2, h, n), np.float32)
-            gates, both, new = np.empty((2, 3 * h, n), np.float32), np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32)
-            found = np.empty((2, window, 2, n), np.float32)
+    one, half = np.float32(1), np.float32(0.5)
+    for start in range(0, len(out), block):
+        n = min(block, len(out) - start)
+        some = ids[start : start + n + window - 1]
+        into = [np.ascontiguousarray(table[some].T) for table in (forth, back)]
+        found = np.zeros((window, 2, n), np.float32)
+        gates, both, size = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        for k in (0, 1):
+            state = np.zeros((h, n), np.float32)
             for t in range(window):
-                np.matmul(again, state, out=gates)
-                x = [side[:, at : at + n] for side, at in zip(into, (t, window - 1 - t))]
-                for k in (0, 1):
-                    np.add(gates[k, : 2 * h], x[k][: 2 * h], out=both[k])
-                np.exp(both, out=both)
+                at = window - 1 - t if k else t
+                x = into[k][:, at : at + n]
+                np.matmul(again[k], state, out=gates)
+                np.add(gates[: 2 * h], x[: 2 * h], out=both)
+                np.abs(both, out=size)
+                size += one
+                both /= size
                 both += one
-                np.divide(one, both, out=both)
-                np.multiply(gates[:, 2 * h :], both[:, h:], out=new)
-                for k in (0, 1):
-                    new[k] += x[k][2 * h :]
-                np.exp(new, out=new)
-                new += one
-                np.divide(np.float32(-2), new, out=new)
-                new += one
+                new, width = gates[2 * h :], size[:h]
+                new *= both[h:]
+                new += x[2 * h :]
+                np.abs(new, out=width)
+                width += one
+                new /= width
                 state -= new
-                state *= both[:, :h]
+                state *= both[:h]
+                state *= half
                 state += new
-                found[0, t], found[1, window - 1 - t] = np.matmul(read, state)
-            weight, value = (found[0] + found[1]).transpose(1, 0, 2)
-            weight = np.exp(weight - weight.max(0))
-            out[start : start + n] = (value * weight).sum(0) / weight.sum(0) + p["out_bias"]
+                found[at] += read[k] @ state
+        weight, value = found[:, 0], found[:, 1]
+        weight = np.exp(weight - weight.max(0))
+        out[start : start + n] = (value * weight).sum(0) / weight.sum(0) + p["out_bias"]
     return out
 
 
-def _scatter(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the rows of values by their place."""
-    return np.stack([np.bincount(at, c, size) for c in values.T], 1).astype(np.float32)
+def window_logits(p: dict[str, np.ndarray], forth: np.ndarray, back: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Logits of windows (T x N indexes of words, whose projections forth and back hold)."""
+    return _read(p, np.stack([forth[windows], back[windows[::-1]]], 1))[0]
 
 
-def gradients(p: dict[str, np.ndarray], features: tuple[np.ndarray, np.ndarray, np.ndarray], windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted mean logistic loss; features are those of the words that windows index."""
-    inputs = word_inputs(p, *features)
-    table = inputs @ p["into"] + p["bias"]
-    steps, n = windows.shape
+def _read(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of windows from their inputs (T x 2 x N x 3h), and what their gradients need."""
+    steps, _, n, _ = x.shape
     h = p["again"].shape[1]
-    x = table[windows].reshape(steps, n, 2, 3 * h)
-    x = np.stack([x[:, :, 0], x[::-1, :, 1]], 1)
     state = np.zeros((2, n, h), np.float32)
     kept = []
     for t in range(steps):
         gates = state @ p["again"]
-        both = _sigmoid(x[t, :, :, : 2 * h] + gates[:, :, : 2 * h])
+        both = (_squashed(x[t, :, :, : 2 * h] + gates[:, :, : 2 * h]) + 1) * np.float32(0.5)
         z, r = both[:, :, :h], both[:, :, h:]
-        new = np.tanh(x[t, :, :, 2 * h :] + r * gates[:, :, 2 * h :])
+        new = _squashed(x[t, :, :, 2 * h :] + r * gates[:, :, 2 * h :])
         kept.append((state, z, r, new, gates[:, :, 2 * h :]))
         state = new + z * (state - new)
     ends = np.stack([k[0] for k in kept[1:]] + [state])
@@ -187,9 +163,25 @@ def gradients(p: dict[str, np.ndarray], features: tuple[np.ndarray, np.ndarray,
     soft = np.exp(score - score.max(0))
     soft /= soft.sum(0)
     pooled = (states * soft[:, :, None]).sum(0)
-    logit = pooled @ p["out"] + p["out_bias"]
+    return pooled @ p["out"] + p["out_bias"], kept, states, soft, pooled
+
+
+def _scatter(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of values by their place."""
+    return np.stack([np.bincount(at, c, size) for c in values.T], 1).astype(np.float32)
+
+
+def gradients(p: dict[str, np.ndarray], features: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean logistic loss; features are those of the words that windows index."""
+    inputs = word_inputs(p, *features)
+    table = inputs @ p["into"] + p["bias"]
+    steps, n = windows.shape
+    h = p["again"].shape[1]
+    x = table[windows].reshape(steps, n, 2, 3 * h)
+    x = np.stack([x[:, :, 0], x[::-1, :, 1]], 1)
+    logit, kept, states, soft, pooled = _read(p, x)
 
-    d_logit = ((_sigmoid(logit.copy()) - target) * weight / weight.sum()).astype(np.float32)
+    d_logit = ((1 / (1 + np.exp(-np.clip(logit, -50, 50))) - target) * weight / weight.sum()).astype(np.float32)
     g = {"out": pooled.T @ d_logit, "out_bias": d_logit.sum(keepdims=True)}
     d_pooled = d_logit[:, None] * p["out"]
     d_soft = (states * d_pooled).sum(2)
@@ -201,22 +193,25 @@ def gradients(p: dict[str, np.ndarray], features: tuple[np.ndarray, np.ndarray,
     g["again"] = np.zeros_like(p["again"])
     dx = np.empty_like(x)
     back = p["again"].transpose(0, 2, 1)
+    slope = lambda s: (1 - np.abs(s)) ** 2  # of the squashed value s
     for t in range(steps - 1, -1, -1):
         before, z, r, new, gate = kept[t]
         d_state = d_state + d_ends[t]
-        d_new = d_state * (1 - z) * (1 - new * new)
-        d_gates = np.concatenate([d_state * (before - new) * z * (1 - z), d_new * gate * r * (1 - r), d_new * r], 2)
+        d_new = d_state * (1 - z) * slope(new)
+        gate_slope = lambda v: slope(2 * v - 1) * np.float32(0.5)
+        d_gates = np.concatenate([d_state * (before - new) * gate_slope(z), d_new * gate * gate_slope(r), d_new * r], 2)
         dx[t, :, :, : 2 * h], dx[t, :, :, 2 * h :] = d_gates[:, :, : 2 * h], d_new
         g["again"] += before.transpose(0, 2, 1) @ d_gates
         d_state = d_state * z + d_gates @ back
     d_table = _scatter(len(table), windows.reshape(-1), np.concatenate([dx[:, 0], dx[::-1, 1]], 2).reshape(steps * n, -1))
     g["into"], g["bias"] = inputs.T @ d_table, d_table.sum(0)
     d_inputs = d_table @ p["into"].T
-    buckets, grams, starts = features
-    dim = p["words"].shape[1]
-    g["words"] = _scatter(len(p["words"]), buckets.T.reshape(-1), np.concatenate([d_inputs[:, :dim]] * 2))
-    of = np.repeat(np.arange(len(buckets)), np.diff(starts))
-    g["chars"] = _scatter(len(p["chars"]), grams, (d_inputs[:, dim:] / np.sqrt(np.diff(starts))[:, None].astype(np.float32))[of])
+    hashes, grams, starts, _ = features
+    a, b, chars = _buckets(p, hashes, grams)
+    dim, letters = p["words"].shape[1], p["chars"].shape[1]
+    g["words"] = _scatter(len(p["words"]), np.concatenate([a, b]), np.concatenate([d_inputs[:, :dim]] * 2))
+    of = np.repeat(np.arange(len(hashes)), np.diff(starts))
+    g["chars"] = _scatter(len(p["chars"]), chars, (d_inputs[:, dim : dim + letters] / np.sqrt(np.diff(starts))[:, None].astype(np.float32))[of])
     return g
 
 

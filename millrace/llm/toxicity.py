@@ -20,6 +20,10 @@ from .gru import LONGEST_WORD, Adam, Shape, every_window_logits, gradients, new_
 
 #: Windows of the training sample that are scored together.
 BATCH = 768
+#: Bits of a hash by which texts with a word, or with a gram, are counted.
+COUNT_BITS = 18
+#: Words whose inputs are made together.
+SOME = 8192
 
 
 def held_out(id_column: Column) -> Column:
@@ -57,9 +61,10 @@ class Scorer:
         n, more = len(self.index), len(words)
         if n + more > len(self.tables[0]):
             self.tables = [np.concatenate([t, np.empty((max(more, len(t)), t.shape[1]), np.float32)]) for t in self.tables]
-        for i in range(0, more, 8192):
-            some = words[i : i + 8192]
-            for table, half in zip(self.tables, projected(self.model["net"], some, self.model["bits"])):
+        for i in range(0, more, SOME):
+            some = words[i : i + SOME]
+            features = word_features(some)
+            for table, half in zip(self.tables, projected(self.model["net"], *features, counted(self.model["excess"], *features))):
                 table[n + i : n + i + len(some)] = half
         self.index.update(zip(words, range(n, n + more)))
 
@@ -89,31 +94,42 @@ class Scorer:
         return out
 
 
-def _features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word_features of many words, in narrow integers and made bit by bit."""
-    parts = [word_features(words[i : i + 8192], bits) for i in range(0, len(words), 8192)]
-    sizes = np.concatenate([np.diff(starts) for _, _, starts in parts])
-    return np.concatenate([b.astype(np.int32) for b, _, _ in parts]), np.concatenate([g.astype(np.int32) for _, g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-
-
-def _suspicion(of_text: list[np.ndarray], labels: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """For each word the most significant excess, among texts of label 1, of the word or of one of its grams."""
-    buckets, grams, starts = _features(words, 20)
-    first = starts + np.arange(len(starts), dtype=np.int32)  # of each word: itself, then its grams
-    tokens = np.empty(first[-1], np.int32)
-    own = np.zeros(first[-1], bool)
-    own[first[:-1]] = True
-    tokens[own], tokens[~own] = buckets[:, 0] + (1 << 20), grams
-    del buckets, grams, own
-    seen = np.zeros((2, 2 << 20), np.float32)
-    for ids, y in zip(of_text, labels):
-        present = np.unique(ids)
-        seen[y, np.unique(np.concatenate([tokens[first[i] : first[i + 1]] for i in present]))] += 1
-    n = np.bincount(labels, minlength=2) + 1
-    seen += np.float32(0.5)
-    excess = np.log(seen[1] / np.float32(n[1])) - np.log(seen[0] / np.float32(n[0]))
-    excess /= np.sqrt(1 / seen[1] + 1 / seen[0])
-    return np.maximum.reduceat(excess[tokens], first[:-1])
+def counted(excess: np.ndarray, hashes: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word its excess among texts of label 1, and the greatest excess of its grams."""
+    own = excess[0, (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return np.stack([own, np.maximum.reduceat(excess[1, (grams >> np.uint32(32 - COUNT_BITS)).astype(np.int64)], starts[:-1])], 1)
+
+
+class _Words:
+    """Hashes of the sample's words, and what counts say of them."""
+
+    def __init__(self, words: list[bytes], of_text: list[np.ndarray], labels: np.ndarray):
+        parts = [word_features(words[i : i + SOME]) for i in range(0, len(words), SOME)]
+        self.hashes = np.concatenate([h for h, _, _ in parts])
+        self.grams = np.concatenate([g for _, g, _ in parts])
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, _, s in parts]))])
+        seen = np.zeros((2, 2, 1 << COUNT_BITS), np.float32)  # label, word or gram, bucket
+        for ids, y in zip(of_text, labels):
+            hashes, grams, _ = self.of(np.unique(ids))
+            seen[y, 0, np.unique(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] += 1
+            seen[y, 1, np.unique(grams >> np.uint32(32 - COUNT_BITS)).astype(np.int64)] += 1
+        n = np.bincount(labels, minlength=2).astype(np.float32)
+        self.excess = _excess(seen[0], seen[1], n[0], n[1])
+        # A text that is learned from must not find itself in the counts: without it, they are these.
+        every = (self.hashes, self.grams, self.starts)
+        self.without = [counted(_excess(np.maximum(seen[0] - 1, 0), seen[1], n[0] - 1, n[1]), *every), counted(_excess(seen[0], np.maximum(seen[1] - 1, 0), n[0], n[1] - 1), *every)]
+
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = self.starts[some + 1] - self.starts[some]
+        cuts = np.concatenate([[0], np.cumsum(length)])
+        return self.hashes[some], self.grams[np.arange(cuts[-1]) + np.repeat(self.starts[some] - cuts[:-1], length)], cuts
+
+
+def _excess(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: float) -> np.ndarray:
+    """A quarter of the logarithm of how much more often texts of label 1 have a bucket; 0 if none has it."""
+    share = max(n_toxic, 1) / max(n_clean + n_toxic, 1)
+    ratio = (toxic / np.float32(share) + 1) / (clean / np.float32(max(1 - share, 1e-3)) + 1)
+    return (np.log(ratio) / 4).astype(np.float32)
 
 
 def _fit(model: dict, texts: list[bytes], labels: np.ndarray, stride: int, steps: int, rounds: int, batch: int, seed: int) -> None:
@@ -122,13 +138,14 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, stride: int, steps
     Those are first the ones with the most suspicious word, later the ones that score highest;
     of label 0, windows that score high are learned more often than others.
     """
-    net, bits, window = model["net"], model["bits"], model["window"]
+    net, window = model["net"], model["window"]
     draw = np.random.default_rng(seed)
     index: dict[bytes, int] = {b"": 0}
     of_text = [np.array([index.setdefault(w, len(index)) for w in chain.from_iterable(text_words(t))] or [0], np.int32) for t in texts]
-    words = list(index)
+    words = _Words(list(index), of_text, labels)
+    total = len(index)
     del index
-    buckets, grams, starts = _features(words, bits)
+    model["excess"] = words.excess
     # Windows of label 1 are laid closely, so that a word to blame is seen at many places.
     of_window = [windows_of(ids, window, window // 8 if y else stride) for ids, y in zip(of_text, labels)]
     rows = np.concatenate(of_window)
@@ -136,19 +153,18 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, stride: int, steps
     first = np.searchsorted(owner, np.arange(len(texts)))
     of_label = labels[owner]
     every_negative = np.flatnonzero(of_label == 0)
-    doubt = _suspicion(of_text, labels, words)
     del of_text, of_window
-    optimizer = Adam(net, 0.01, 0.1)
+    optimizer = Adam(net, 0.01, 1.0)
+    steps = min(steps, max(30, int(labels.sum()) // 3))  # few texts are soon known by heart
 
     def train(positive: np.ndarray, negative: np.ndarray) -> None:
         target = (np.arange(batch) < batch // 3).astype(np.float32)
         for _ in range(steps):
             chosen = np.concatenate([draw.choice(positive, batch // 3), draw.choice(negative, batch - batch // 3)])
-            present, windows = np.unique(rows[chosen].T, return_inverse=True)
-            length = starts[present + 1] - starts[present]
-            cuts = np.concatenate([[0], np.cumsum(length)])
-            spans = grams[np.arange(cuts[-1]) + np.repeat(starts[present] - cuts[:-1], length)]
-            optimizer.step(gradients(net, (buckets[present].astype(np.int64), spans.astype(np.int64), cuts), windows.reshape(window, batch), target, np.ones(batch, np.float32)))
+            # A word of texts of both labels has an input for each.
+            present, windows = np.unique(rows[chosen].T.astype(np.int64) * 2 + of_label[chosen], return_inverse=True)
+            inputs = np.where((present % 2 == 1)[:, None], words.without[1][present // 2], words.without[0][present // 2])
+            optimizer.step(gradients(net, (*words.of(present // 2), inputs), windows.reshape(window, batch), target, np.ones(batch, np.float32)))
 
     def place(scores: np.ndarray) -> np.ndarray:
         """Of each window among its text's, the highest score first."""
@@ -157,12 +173,18 @@ def _fit(model: dict, texts: list[bytes], labels: np.ndarray, stride: int, steps
         out[order] = np.arange(len(order))
         return out - first[owner]
 
+    doubt = words.without[1].max(1)
     at = place(np.concatenate([doubt[rows[i : i + 4096]].max(1) for i in range(0, len(rows), 4096)]))
     train(np.flatnonzero((of_label == 1) & (at < 4)), every_negative)
     for _ in range(rounds):
-        halves = [projected(net, words[i : i + 8192], bits) for i in range(0, len(words), 8192)]
-        tables = [np.concatenate(h) for h in zip(*halves)]
-        at = place(np.concatenate([window_logits(net, *tables, rows[i : i + BATCH].T) for i in range(0, len(rows), BATCH)]))
+        scores = np.empty(len(rows), np.float32)
+        for y in (0, 1):
+            halves = [projected(net, *words.of(np.arange(i, min(i + SOME, total))), words.without[y][i : i + SOME]) for i in range(0, total, SOME)]
+            tables = [np.concatenate(h) for h in zip(*halves)]
+            own = np.flatnonzero(of_label == y)
+            for i in range(0, len(own), BATCH):
+                scores[own[i : i + BATCH]] = window_logits(net, *tables, rows[own[i : i + BATCH]].T)
+        at = place(scores)
         hardest = np.flatnonzero((of_label == 0) & (at < 2))
         train(np.flatnonzero((of_label == 1) & (at < 3)), np.concatenate([hardest, draw.choice(every_negative, len(hardest))]))
 
@@ -183,12 +205,12 @@ def _scale(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[
     return max(slope, 0.05), offset
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1200, longest: int = 20_000, window: int = 32, stride: int = 24, steps: int = 100, rounds: int = 2, batch: int = 192, seed: int = 7, shape: Shape | None = None) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1200, longest: int = 20_000, window: int = 16, stride: int = 16, steps: int = 100, rounds: int = 2, batch: int = 192, seed: int = 7, shape: Shape | None = None) -> dict:
     """A model for score_toxicity, learned from labels of ids that are not held out.
 
     The sample is bounded: at most ``per_class`` ids of each label, in the order of a hash of the
     id, and of those the texts of at most ``longest`` characters. An id with several labels counts
-    as 1 if one of them is; null labels and ids are passed over. ``stride`` only spaces the windows of
+    as 1 if one of them is, an id with several texts gives one of them; null labels and ids are passed over. ``stride`` only spaces the windows of
     label 0 that are learned from; scoring takes them all. Without labelled texts of both
     kinds the model gives every text the share of 1 among them (0 if there are none).
     """
@@ -198,14 +220,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     picked = [rated.filter(F.col("y") == y).orderBy(F.xxhash64("rated_id"), "rated_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # twice per_class rows at most
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).filter(F.length("own_text") <= longest)
-    found = texts.join(sample, F.col("own_id") == F.col("rated_id")).select("rated_id", "own_text", "y")
+    matched = texts.join(sample, F.col("own_id") == F.col("rated_id"))
+    # One text for each id, so that the rows are bounded as the ids are, however often one is repeated.
+    found = matched.groupBy("rated_id", "y").agg(F.min_by("own_text", F.struct(F.xxhash64("own_text"), "own_text")).alias("own_text")).select("rated_id", "own_text", "y")
     rows = sorted(found.collect(), key=lambda r: (str(r[0]), r[1]))
     y = np.array([r.y for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
     raw = [r[1].encode() for r in rows]
     shape = shape or Shape()
-    model = {"net": new_parameters(shape, seed), "bits": shape.bits, "window": window}
+    model = {"net": new_parameters(shape, seed), "window": window}
     aside = np.arange(len(y)) % 6 == 0  # to scale by
     if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
         aside = np.zeros(len(y), bool)

@@ -1,11 +1,13 @@
+import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from helpers import edge_docs, edge_texts, prose
 
 from millrace.llm.gru import Shape, gradients, new_parameters, projected, window_logits, window_starts, windows_of, word_features
-from millrace.llm.toxicity import Scorer, drop_toxic, held_out, score_toxicity, text_words, train_toxicity
+from millrace.llm.toxicity import COUNT_BITS, Scorer, counted, drop_toxic, held_out, score_toxicity, text_words, train_toxicity
 
 BAD = ["vileword", "nastyterm", "badslur"]
 
@@ -30,7 +32,7 @@ def tables(spark):
 
 def test_gradients_are_those_of_the_loss():
     p = {k: v.astype(np.float64) for k, v in new_parameters(Shape(3, 4, 5, 6), 1).items()}
-    features = word_features([b"one", b"two", b"three", b""], 6)
+    features = (*word_features([b"one", b"two", b"three", b""]), np.array([[0.5, 0.2], [-0.4, 0.1], [1.2, 0.9], [0.0, 0.3]]))
     windows = np.array([[0, 1], [2, 3], [1, 0], [3, 2], [0, 0]])
     target, weight = np.array([1.0, 0.0]), np.array([1.0, 2.0])
 
@@ -60,7 +62,8 @@ def _inputs(p, features):
 
 def _reference(p, table, windows):
     """The network in plain steps."""
-    s = lambda x: 1 / (1 + np.exp(-x))
+    squash = lambda x: x / (1 + abs(x))
+    s = lambda x: (1 + squash(x)) / 2
     h = p["again"].shape[1]
     sides = []
     for k, order in enumerate((range(len(windows)), range(len(windows) - 1, -1, -1))):
@@ -68,7 +71,7 @@ def _reference(p, table, windows):
         for t in order:
             x, g = table[k][windows[t]], state @ p["again"][k]
             z, r = s(x[:, :h] + g[:, :h]), s(x[:, h : 2 * h] + g[:, h : 2 * h])
-            new = np.tanh(x[:, 2 * h :] + r * g[:, 2 * h :])
+            new = squash(x[:, 2 * h :] + r * g[:, 2 * h :])
             state = new + z * (state - new)
             out[t] = state
         sides.append(np.stack(out))
@@ -80,19 +83,20 @@ def _reference(p, table, windows):
 def test_forward_is_the_network():
     p = new_parameters(Shape(4, 6, 6, 8), 3)
     windows = np.array([[0, 1, 2], [2, 2, 0], [1, 0, 1]])
-    tables = projected(p, [b"a", b"bcd", b"ef"], 8)
+    tables = projected(p, *word_features([b"a", b"bcd", b"ef"]), np.array([[0.5, 0.2], [-0.4, 0.1], [1.2, 0.9]], np.float32))
     assert np.allclose(window_logits(p, *tables, windows), _reference(p, tables, windows), atol=1e-5)
 
 
 def test_every_window_of_a_text_is_scored():
-    shape = Shape(4, 6, 6, 8)
-    model = {"net": new_parameters(shape, 3), "bits": shape.bits, "window": 32}
+    excess = np.random.default_rng(1).normal(0, 1, (2, 1 << COUNT_BITS)).astype(np.float32)
+    model = {"net": new_parameters(Shape(4, 6, 6, 8), 3), "excess": excess, "window": 32}
     texts = [" ".join(prose(i, n).split()[:n]).encode() for i, n in enumerate((700, 33, 32, 31, 1, 57, 2500))] + [b"", b"x" * 100]
     want = []
     for text in texts:
         words = [w for part in text_words(text) for w in part] or [b""]
         windows = windows_of(np.arange(len(words)), 32, 1)
-        want.append(window_logits(model["net"], *projected(model["net"], words, shape.bits), windows.T).max())
+        features = word_features(words)
+        want.append(window_logits(model["net"], *projected(model["net"], *features, counted(excess, *features)), windows.T).max())
     assert np.allclose(Scorer(model).logits(texts), want, atol=1e-5)
 
 
@@ -148,3 +152,38 @@ def test_without_labels_and_with_odd_ones(spark, tables):
     edge = edge_docs(spark)
     assert drop_toxic(edge, labels.limit(0)).count() == len(edge_texts())
     assert drop_toxic(edge, labels, steps=2, rounds=0, batch=8).columns == edge.columns
+
+
+def test_repeated_ids_are_one_text(spark, tables):
+    docs, labels, _ = tables
+    some = docs.filter("doc_id < 60")
+    few = {"steps": 2, "rounds": 0, "batch": 8}
+    a, b = train_toxicity(some, labels, **few), train_toxicity(some.union(some).union(some), labels, **few)
+    assert all((a["net"][k] == b["net"][k]).all() for k in a["net"])
+
+
+def _auc(scores, truth):
+    pairs = [(a > b) + 0.5 * (a == b) for a, y in zip(scores, truth) if y for b, z in zip(scores, truth) if not z]
+    return float(np.mean(pairs))
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """Better than the word of a text that texts of label 1 have most often more than others."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    known = {r.doc_id: (r.text or "", r.toxic) for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()}
+    unseen = {i: v for i, v in known.items() if zlib.crc32(str(i).encode()) % 5 == 0}
+    seen, n = (Counter(), Counter()), [0, 0]
+    for i, (text, y) in known.items():
+        if i not in unseen:
+            n[y] += 1
+            seen[y].update(set(text.lower().split()))
+    excess = lambda w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))
+    truth = [y for _, y in unseen.values()]
+    by_word = _auc([max(map(excess, text.lower().split()), default=0) for text, _ in unseen.values()], truth)
+    scores = {r.doc_id: r.score for r in score_toxicity(docs.filter(held_out(docs.doc_id)), train_toxicity(docs, labels)).collect()}
+    by_net = _auc([scores[i] for i in unseen], truth)
+    found = np.mean([scores[i] >= 0.5 for i, (_, y) in unseen.items() if y])
+    assert by_net > max(by_word, 0.94) and found >= 0.7, (by_net, by_word, found)
