@@ -92,7 +92,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "expected", "taken", "copies")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,18 +164,30 @@ ORACLE_SQL = {
             SELECT *, (sum(source_size) OVER ()::BIGINT - coalesce(sum(ceiling) OVER b, 0)::BIGINT)::DOUBLE / (sum(weight) OVER ()::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT)::DOUBLE AS level
             FROM filling WINDOW b AS (ORDER BY fills_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         water AS (SELECT max(level) AS level FROM levels),
-        plan AS (
+        wanted AS (
             SELECT source, source_size, CASE WHEN fills_at <= water.level THEN ceiling::DOUBLE ELSE weight * water.level END AS target
             FROM levels, water),
-        ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM plan),
+        digits AS (SELECT *, length(bin(size)) AS digits FROM sized),
+        classes AS (SELECT source, digits, sum(size)::BIGINT AS words FROM digits GROUP BY ALL),
+        -- the factor of a source, were all classes of more digits than each at three copies
+        factors AS (
+            SELECT a.source, any_value(w.source_size) AS source_size, any_value(w.target) AS target, a.digits,
+                   (any_value(w.target) - coalesce(sum(3 * b.words) FILTER (b.digits > a.digits), 0)::DOUBLE)
+                     / nullif(sum(b.digits * b.words) FILTER (b.digits <= a.digits), 0)::DOUBLE AS factor
+            FROM classes a JOIN classes b ON a.source IS NOT DISTINCT FROM b.source JOIN wanted w ON a.source IS NOT DISTINCT FROM w.source
+            GROUP BY a.source, a.digits),
+        best AS (SELECT source, any_value(source_size) AS source_size, any_value(target) AS target, coalesce(max(factor), 0) AS factor FROM factors GROUP BY source),
+        hoped AS (
+            SELECT doc_id, d.source, size, draw, source_size, target, least(3.0::DOUBLE, greatest(0::DOUBLE, factor * digits)) AS expected
+            FROM digits d JOIN best b ON d.source IS NOT DISTINCT FROM b.source),
         ranked AS (
-            SELECT doc_id, s.source, size, source_size, target, floor(ratio)::BIGINT AS whole, target - floor(ratio) * source_size AS missing,
-                   CASE WHEN ratio > floor(ratio) THEN (draw / (1 - draw)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) END AS rank
-            FROM sized s JOIN ratios r ON s.source IS NOT DISTINCT FROM r.source),
+            SELECT *, target - (sum(floor(expected)::BIGINT * size) OVER (PARTITION BY source))::DOUBLE AS missing,
+                   CASE WHEN expected > floor(expected) THEN draw / (1 - draw) * (1 - (expected - floor(expected))) / (expected - floor(expected)) END AS rank
+            FROM hoped),
         running AS (
             SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size DESC, doc_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS reached FROM ranked),
         copied AS (
-            SELECT *, whole + CASE WHEN rank IS NOT NULL AND missing > 0 AND reached - size < missing AND (reached <= missing OR reached - missing < missing - (reached - size)) THEN 1 ELSE 0 END AS copies FROM running)
-        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
+            SELECT *, floor(expected)::BIGINT + CASE WHEN rank IS NOT NULL AND missing > 0 AND reached - size < missing AND (reached <= missing OR reached - missing < missing - (reached - size)) THEN 1 ELSE 0 END AS copies FROM running)
+        SELECT doc_id, size, source_size, target, expected, copies * size AS taken, copies FROM copied
     """,
 }

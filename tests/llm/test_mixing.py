@@ -69,3 +69,32 @@ def test_edges(spark):
     assert pareto_mix(docs.limit(0)).count() == mixed_rows(docs.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, None, " ")], "doc_id long, source string, text string")
     assert {(r.size, r.target, r.taken) for r in pareto_mix(empty).collect()} == {(0, 0.0, 0)}
+
+
+def test_long_documents_are_taken_more_often(spark):
+    """Inclusion rates over many seeds are the expected copies, which differ by document."""
+    rows = [(i, "a" if i < 240 else "b", " ".join(["w"] * (1 << (i % 8)))) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    n, mean, expected = 8, defaultdict(float), {}
+    for seed in range(n):
+        for r in pareto_mix(df, weights=(1, 3), seed=f"s{seed}").collect():
+            mean[r.source, r.size] += r.copies / n / 30
+            expected[r.source, r.size] = r.expected
+    assert len(set(expected.values())) == len(expected) and max(expected.values()) > 1 > min(expected.values())
+    assert all(abs(mean[k] - e) < 0.12 for k, e in expected.items()), (mean, expected)
+    assert all(expected[s, 1 << k] < expected[s, 2 << k] for s in "ab" for k in range(7))
+
+
+def test_expected_words_are_the_target(spark):
+    from millrace.llm.mixing import expected_copies
+
+    rows = [(s, n, n.bit_length()) for s, n in [("a", 1)] * 50 + [("a", 900)] * 3 + [("b", 5)] * 400 + [("c", 70)] * 40 + [(None, 3)] * 20 + [("c", 1)]]
+    sized = spark.createDataFrame(rows, "source string, size long, digits int")
+    plan = {(r.plan_source, r.plan_digits): r for r in expected_copies(sized).collect()}
+    words, target = defaultdict(float), {}
+    for s, n, k in rows:
+        r = plan[s, k]
+        words[s] += (r.whole + r.chance) * n
+        target[s] = r.target
+        assert r.whole + r.chance <= 3
+    assert all(abs(words[s] - t) < 1e-6 for s, t in target.items())
