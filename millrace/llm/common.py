@@ -50,6 +50,27 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", least: int = 1000) -> DataFrame:
+    """rows joined with side, which has one row for each key, on keys; a key of very many rows is dealt out.
+
+    Keys of more than ``least`` rows, and of more than one in 10,000 rows, get a salt from the rest of
+    the row, and side's row of such a key is there once for each salt. Fewer than 10,000 keys can be
+    that frequent, so they are broadcast. rows are read twice: they should be staged. Rows with null
+    in a key find no partner.
+    """
+    total = rows.count()
+    limit = max(least, total // 10_000)
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
+    hot = staged(hot, "hot-keys")
+    if hot.isEmpty():
+        unstage(hot)
+        return rows.join(side, keys, how)
+    of_key = F.coalesce("salts", F.lit(1))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), of_key).cast("int")).drop("salts")
+    copies = side.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), of_key - 1))).drop("salts")
+    return salted.join(copies, [*keys, "salt"], how).drop("salt")
+
+
 def unit_from_md5(text: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of an MD5; SQL engines agree on it."""
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
