@@ -22,10 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; the warehouse, or a local run's own, only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        if spark.sparkContext.master.startswith("local"):  # driver and executors are one process
+            named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/millrace-work"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
