@@ -7,7 +7,7 @@ come out alike however the rows are dealt.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,25 +44,30 @@ def _value(m: Measure, null_policy: str) -> Column:
     return F.round(value, scale(m.type)).cast(f"decimal({DIGITS - 10},{scale(m.type)})") if kind(m.type) == "DECIMAL" and m.method in ("SUM", "AVG") else value
 
 
-def _need_order(m: Measure, order: Sequence[str]) -> None:
-    if not order and (m.method in ("FIRST", "LAST") or m.method == "SUM" and kind(m.type) in ("VARCHAR", "DATE")):
+def _ordered(m: Measure) -> bool:
+    return m.method in ("FIRST", "LAST") or m.method == "SUM" and kind(m.type) in ("VARCHAR", "DATE")
+
+
+def _need_order(m: Measure, order: Sequence[str | Column]) -> None:
+    if not order and _ordered(m):
         raise ValueError(f"{m.name}: {m.method} over {m.type} needs the columns of arrival order")
 
 
-def aggregate_column(m: Measure, order: Sequence[str] = (), null_policy: str = "zero") -> Column:
-    """The aggregate of one measure over the rows of a key."""
+def aggregate_column(m: Measure, order: Sequence[str] = (), null_policy: str = "zero", where: Column | None = None) -> Column:
+    """The aggregate of one measure over the rows of a key, or over those of them that meet a condition."""
     _need_order(m, order)
+    only = (lambda c: c) if where is None else (lambda c: F.when(where, c))
     if m.method == "COUNT":
-        return (F.count(F.lit(1)) if m.value is None else F.count(m.column())).alias(m.name)
-    value, k = _value(m, null_policy), kind(m.type)
+        return F.count(only(F.lit(1) if m.value is None else m.column())).alias(m.name)
+    value, k = only(_value(m, null_policy)), kind(m.type)
     if m.method in ("MIN", "MAX"):
         out = (F.min if m.method == "MIN" else F.max)(value)
     elif m.method in ("FIRST", "LAST"):
-        out = (F.min_by if m.method == "FIRST" else F.max_by)(value, F.struct(*order))
+        out = (F.min_by if m.method == "FIRST" else F.max_by)(value, only(F.struct(*order)))
     elif m.method == "SUM" and k in ("VARCHAR", "DATE"):
         # The result itself holds every value of the key; the order columns decide between equals.
         text = value if k == "VARCHAR" else F.date_format(value, DATE_FORMAT)
-        listed = F.array_sort(F.collect_list(F.struct(*order, text.alias("listed_text"))))
+        listed = F.array_sort(F.collect_list(only(F.struct(*order, text.alias("listed_text")))))
         out = F.array_join(F.transform(listed, lambda x: x["listed_text"]), ",")
     elif m.method == "SUM":
         out = F.sum(value).cast("double" if k == "DECIMAL" else "long")
@@ -146,22 +151,41 @@ def running(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], ord
     return joined.select(*keys, *order, *keep, *out)
 
 
-def aggregate_inputs(inputs: Sequence[tuple[DataFrame, Sequence[Column], Sequence[Measure]]], keys: Sequence[str], order: Sequence[str] = (), null_policy: str = "zero") -> DataFrame:
-    """Several inputs aggregated on a common key: each measure belongs to one input.
+def tagged(inputs: Sequence[tuple[DataFrame, Mapping[str, Column], Sequence[str]]], keys: Sequence[str]) -> DataFrame:
+    """Rows of several inputs one after the other: keys, ``in_<i>`` (the row's columns, null in rows of others).
 
-    inputs: (table, the key's expressions there, measures). Each input is aggregated by itself and
-    the results meet in a full join, so no input multiplies another. A key that an input has not
-    gets 0, empty or the epoch for its measures under the policy "zero", else null.
+    inputs: (table, the key's expressions there, columns to keep). One shuffle on the keys then brings
+    all inputs together, in a batch as in a stream.
     """
     out: DataFrame | None = None
-    for df, columns, measures in inputs:
-        part = aggregate(df, [c.alias(k) for c, k in zip(columns, keys, strict=True)], measures, order, null_policy)
-        out = part if out is None else out.join(part, list(keys), "full")
+    for i, (df, columns, keep) in enumerate(inputs):
+        part = df.select(*(columns[k].alias(k) for k in keys), F.struct(F.lit(i).alias("_input"), *keep).alias(f"in_{i}"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no inputs")
+    return out
+
+
+def aggregate_inputs(inputs: Sequence[tuple[DataFrame, Sequence[Column], Sequence[Measure]]], keys: Sequence[str], order: Sequence[str] = (), null_policy: str = "zero") -> DataFrame:
+    """Several inputs aggregated on a common key: each measure belongs to one input.
+
+    inputs: (table, the key's expressions there, measures). Rows of all inputs are tagged, follow each
+    other and meet in one aggregate that is combined before its shuffle, so no input multiplies
+    another, and streams need the state of one aggregate only. A key that an input has not gets 0,
+    empty or the epoch for its measures under the policy "zero", else null. Null keys are one key.
+    """
+    sides, measures = [], []
+    for i, (df, columns, some) in enumerate(inputs):
+        values = [m.column().alias(f"v{j}") for j, m in enumerate(some) if m.value is not None]
+        ordered = [F.col(c).alias(f"o{j}") for j, c in enumerate(order)] if any(_ordered(m) for m in some) else []
+        sides.append((df, dict(zip(keys, columns, strict=True)), [*values, *ordered]))
+        for j, m in enumerate(some):
+            own = Measure(m.name, m.method, None if m.value is None else F.col(f"in_{i}.v{j}"), m.type)
+            measures.append((aggregate_column(own, [F.col(f"in_{i}.o{k}").alias(f"o{k}") for k in range(len(ordered))], null_policy, F.col(f"in_{i}").isNotNull()), m))
+    out = tagged(sides, keys).groupBy(*keys).agg(*(column for column, _ in measures))
     if null_policy != "zero":
         return out
-    return out.select(*keys, *(F.coalesce(F.col(m.name), _missing(m)).alias(m.name) for _, _, ms in inputs for m in ms))
+    return out.select(*keys, *(F.coalesce(F.col(m.name), _missing(m)).alias(m.name) for _, m in measures))
 
 
 def _missing(m: Measure) -> Column:

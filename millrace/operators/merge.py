@@ -8,30 +8,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def latest(df: DataFrame, keys: Mapping[str, Column], columns: Mapping[str, Column], order: Sequence[str | Column]) -> DataFrame:
-    """The newest row of each key: its columns as they are there, nulls included."""
-    row = F.struct(*(c.alias(n) for n, c in columns.items()))
-    found = df.groupBy(*(c.alias(n) for n, c in keys.items())).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return found.select(*keys, *(F.col(f"_row.{n}").alias(n) for n in columns))
+from .aggregate import tagged
 
 
 def merge_latest(sides: Sequence[tuple[DataFrame, Mapping[str, Column], Mapping[str, Column], Sequence[str | Column]]], deferred: Mapping[str, Column] | None = None) -> DataFrame:
     """(table, keys, columns, order) of each input: one row for each key that any has.
 
     Deferred columns need all inputs: they stay null until every one has a row of the key. Null keys
-    are left out, as a stored row needs a key.
+    are left out, as a stored row needs a key. Rows of all inputs meet in one aggregate, so streams
+    can be merged too.
     """
+    wide = merged_rows(sides)
+    names = list(sides[0][1])
+    extra = [F.when(F.col("_complete"), c).alias(n) for n, c in (deferred or {}).items()]
+    flat = wide.select(*names, "_complete", *(F.col(f"row_{i}.{n}").alias(n) for i, (_, _, columns, _) in enumerate(sides) for n in columns))
+    return flat.select(*names, *(n for _, _, columns, _ in sides for n in columns), *extra)
+
+
+def merged_rows(sides: Sequence[tuple[DataFrame, Mapping[str, Column], Mapping[str, Column], Sequence[str | Column]]]) -> DataFrame:
+    """keys, row_<i> (the newest row of each input, null if it has none) and _complete: whether all have one."""
     names = list(sides[0][1])
-    parts = []
-    for i, (df, keys, columns, order) in enumerate(sides):
-        if list(keys) != names:
-            raise ValueError("every input must give the same keys")
-        parts.append(latest(df, keys, columns, order).dropna(subset=names).withColumn(f"_has{i}", F.lit(True)))
-    out = reduce(lambda a, b: a.join(b, names, "full"), parts)
-    complete = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_has{i}"), F.lit(False)) for i in range(len(parts))])
-    extra = [F.when(complete, c).alias(n) for n, c in (deferred or {}).items()]
-    return out.select(*names, *(n for _, _, columns, _ in sides for n in columns), *extra)
+    if any(list(keys) != names for _, keys, _, _ in sides):
+        raise ValueError("every input must give the same keys")
+    parts = [(df, keys, [F.struct(F.lit(True).alias("_has"), *(c.alias(n) for n, c in columns.items())).alias("row"), F.struct(*order).alias("at")]) for df, keys, columns, order in sides]
+    rows = tagged(parts, names).dropna(subset=names)
+    opened = rows.groupBy(*names).agg(*(F.max_by(F.col(f"in_{i}.row"), F.col(f"in_{i}.at")).alias(f"row_{i}") for i in range(len(sides))))
+    complete = reduce(lambda a, b: a & b, [F.col(f"row_{i}").isNotNull() for i in range(len(sides))])
+    return opened.withColumn("_complete", complete)
 
 
 def union_inputs(inputs: Sequence[DataFrame]) -> DataFrame:

@@ -63,7 +63,7 @@ O["coerce_types"] = r"""
 SELECT event_id, coalesce(try_cast(n AS BIGINT), 0) AS number, 0::BIGINT AS no_number, -coalesce(try_cast(n AS BIGINT), 0) AS cut, coalesce(try_cast(n AS DOUBLE), 0) AS fraction,
        CASE WHEN user_id > 50 THEN event_type ELSE '' END AS text, 0::BIGINT AS no_date, substr(value::VARCHAR, 1, 2) AS other
 FROM (SELECT *, regexp_extract(props, '(\d+)', 1) AS n FROM events)"""
-O["lookup_memory"] = "SELECT o_orderkey, o_custkey, coalesce(c_mktsegment, '') AS segment, coalesce(c_acctbal, 0) AS balance, coalesce(c_nationkey, 0)::BIGINT AS nation FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"
+O["lookup_memory"] = "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(c_mktsegment, '') AS segment, coalesce(c_acctbal, 0) AS balance, coalesce(c_nationkey, 0)::BIGINT AS nation FROM lineitem LEFT JOIN customer ON l_partkey = c_custkey"
 O["lookup_store_composite_key"] = "SELECT l_orderkey, l_linenumber, arg_max(l_partkey, o) AS part, arg_max(l_extendedprice, o) AS price FROM (SELECT *, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS o FROM lineitem) GROUP BY ALL"
 O["lookup_chain_snowflake"] = "SELECT o_orderkey, coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
 O["lookup_last_wins"] = """
@@ -76,7 +76,12 @@ O["multi_group"] = "SELECT person, coalesce(a, 0) AS spent, coalesce(b, 0) AS gr
 O["multi_count_per_input"] = "SELECT person, coalesce(a, 0) AS orders, coalesce(b, 0) AS events, coalesce(a, 0) + coalesce(b, 0) AS rows " + _BOTH.format("count(*) AS a", "count(*) AS b")
 _LAST = _BOTH.format("arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last_price, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status", "arg_max(value, (ts, event_id)) AS last_value, arg_max(event_type, (ts, event_id)) AS last_type")
 O["multi_merge"] = f"SELECT person, last_price, last_status, last_value, last_type {_LAST}"
-O["multi_deferred_expr"] = f"SELECT person, last_price, last_status, last_value, last_type, last_price + last_value AS both, CASE WHEN last_status IS NOT NULL AND last_type IS NOT NULL THEN last_status || ':' || last_type END AS text {_LAST}"
+_NEWEST = _BOTH.format("arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS r", "arg_max(value, (ts, event_id)) AS v, arg_max(event_type, (ts, event_id)) AS t")
+O["multi_deferred_expr"] = f"SELECT person, coalesce(p, 0) AS last_price, coalesce(t, '') AS last_type, p + v AS both, s || ' value of ' || t AS text, r || ':' || t AS renamed {_NEWEST}"
+O["stream_multi_merge"] = O["multi_deferred_expr"]
+O["project_variables"] = "SELECT o_orderkey, coalesce(o_orderstatus || ' status ' || coalesce(c_mktsegment, '') || o_custkey, '') AS text FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
+O["graph_store"] = f"SELECT coalesce(c_mktsegment, '') AS name, count(*) AS n, {_sum('o_totalprice')} AS spent FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"
+O["graph_push_delta"] = "SELECT coalesce(c_mktsegment, '') AS key, count(*) AS pushed, count(*) AS ones FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"
 O["multi_union_disjoint"] = "SELECT n_nationkey + 100 AS place, n_name AS name, n_regionkey AS above FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region"
 _DEDUP = """
 SELECT event_id, user_id, event_type, b AS bucket_seconds FROM (
@@ -93,11 +98,12 @@ O["wire_roundtrip"] = "SELECT event_id, event_type, value, epoch_us(ts) // 1000
 O["text_scheme"] = "SELECT text AS logInfo FROM documents"
 O["run_log_summary"] = "SELECT event_type, count(*) AS entries, sum(event_id % 97)::BIGINT AS total_elapsed, min(event_id % 97) AS least_elapsed, max(event_id % 97) AS greatest_elapsed FROM events GROUP BY 1"
 O["stream_agg"] = f"SELECT user_id, count(*) AS n, {_sum('value')} AS total, max(value) AS greatest, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1"
-O["stream_lookup"] = "SELECT o_orderkey, o_custkey, coalesce(c_mktsegment, '') AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"
+O["stream_lookup"] = "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(c_mktsegment, '') AS segment FROM lineitem LEFT JOIN customer ON l_partkey = c_custkey"
 O["stream_dedup"] = "SELECT DISTINCT floor(epoch(ts))::BIGINT // 3600 * 3600 AS bucket_seconds, user_id, event_type FROM events"
 O["stream_multi_group"] = "SELECT person, coalesce(a, 0) AS spent, coalesce(b, 0) AS orders, coalesce(c, 0) AS events, coalesce(d, 0) AS total_value " + _BOTH.format(f"{_sum('o_totalprice')} AS a, count(*) AS b", f"count(*) AS c, {_sum('value')} AS d")
 O["stream_running"] = """
-SELECT event_id, user_id, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) AS total, min(value) OVER w AS least, max(value) OVER w AS greatest
+SELECT event_id, user_id, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER w AS DOUBLE) / count(*) OVER w AS mean,
+       min(value) OVER w AS least, max(value) OVER w AS greatest, first_value(event_type) OVER w AS first_type, event_type AS last_type
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 O["time_bucket"] = "SELECT event_id, s // 1800 * 1800 AS half_hour, s // 21600 * 21600 AS six_hours, s // 604800 * 604800 AS week FROM (SELECT event_id, floor(epoch(ts))::BIGINT AS s FROM events)"
 O["inputs_full_join"] = f"""

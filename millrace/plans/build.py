@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -14,8 +13,8 @@ from ..functions.scalar import FunctionRegistry
 from ..functions.types import spark_type, typed
 from ..operators.aggregate import Measure, aggregate, aggregate_inputs, deltas
 from ..operators.lookup import lookup_join
-from ..operators.merge import merge_latest
-from .specs import FieldSpec, JoinSpec, LookupSpec, NodeSpec, SpecError
+from ..operators.merge import merged_rows
+from .specs import LOOKUP, NODE, FieldSpec, InputSpec, JoinSpec, LookupSpec, NodeSpec, SpecError
 
 
 @dataclass(frozen=True)
@@ -77,20 +76,44 @@ def key_parts(node: NodeSpec, f: FieldSpec) -> dict[int, str]:
     return found
 
 
-def names_in(text: str, tables: Mapping[int, DataFrame]) -> set[str]:
-    """Columns of the inputs that a text names."""
-    known = {c for df in tables.values() for c in df.columns}
-    return known.intersection(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "''", text)))
-
-
-def _owner(node: NodeSpec, f: FieldSpec, inputs: Mapping[int, DataFrame]) -> int | None:
+def _owner(f: FieldSpec, column: Column, inputs: Mapping[int, DataFrame]) -> int | None:
     """The input that has all that a column names, -1 if none has; None for a count that names nothing."""
     if f.source is not None:
         return f.source
-    names = names_in(f.value, inputs)
-    if not names and f.method == "COUNT":
+    if f.method == "COUNT" and resolves(next(iter(inputs.values())).select(F.lit(1).alias("_nothing")), column):
         return None
-    return next((i for i, df in inputs.items() if names.issubset(df.columns)), -1)
+    return next((i for i, df in inputs.items() if resolves(df, column)), -1)
+
+
+def with_variables(node: NodeSpec, df: DataFrame, sources: Sequence[InputSpec]) -> DataFrame:
+    """df and a column for each field whose variables all come from it, computed from these alone.
+
+    A variable names a column of a message, of a node, or one that a lookup gave.
+    """
+    out = df
+    for f in node.fields:
+        if f.variables and (found := _variables(node, f, sources, df)) is not None:
+            narrow = out.select(F.struct("*").alias("_all"), *(F.col(c).alias(v) for v, c in found.items()))
+            out = narrow.select("_all", F.expr(f.value).alias(variable_column(f))).select("_all.*", variable_column(f))
+    return out
+
+
+def variable_column(f: FieldSpec) -> str:
+    return f"_value_of_{f.name}"
+
+
+def _variables(node: NodeSpec, f: FieldSpec, sources: Sequence[InputSpec], df: DataFrame) -> dict[str, str] | None:
+    """Column of df for each variable of a field; None if df has not all of them."""
+    out = {}
+    for variable, (origin, source, name) in f.variables.items():
+        if origin == LOOKUP:
+            taken = next((new for j in node.joins if j.lookup == source for new, c in j.take.items() if c == name), None)
+        else:
+            taken = name if any(i.source == source and i.from_node == (origin == NODE) for i in sources) else None
+        if taken is None or taken not in df.columns:
+            return None
+        out[variable] = taken
+    return out
 
 
 def build_node(node: NodeSpec, inputs: Mapping[int, DataFrame], context: Context) -> NodeResult:
@@ -101,7 +124,7 @@ def build_node(node: NodeSpec, inputs: Mapping[int, DataFrame], context: Context
         own = [j for j in node.joins if j.input in (None, i.id)] if len(node.inputs) > 1 else node.joins
         if len(node.inputs) > 1:
             own = [j for j in own if j.input == i.id or all(c in df.columns for c in j.on)]
-        tables[i.id] = with_lookups(node, df, own, context)
+        tables[i.id] = with_variables(node, with_lookups(node, df, own, context), [i])
     keys = [f for f in node.fields if f.key]
     result = _single(node, tables, keys, context) if len(tables) == 1 else _several(node, tables, keys, context)
     if node.output_filter:
@@ -109,13 +132,17 @@ def build_node(node: NodeSpec, inputs: Mapping[int, DataFrame], context: Context
     return result
 
 
+def _column(f: FieldSpec, context: Context) -> Column:
+    return F.col(variable_column(f)) if f.variables else column_of(f.value, context.functions)
+
+
 def _measure(f: FieldSpec, column: Column) -> Measure:
     return Measure(f.name, f.method, None if f.method == "COUNT" else column, f.type)
 
 
 def _single(node: NodeSpec, tables: Mapping[int, DataFrame], keys: list[FieldSpec], context: Context) -> NodeResult:
     (df,) = tables.values()
-    columns = {f.name: column_of(f.value, context.functions) if f.value else F.lit(None) for f in node.fields}
+    columns = {f.name: _column(f, context) if f.value else F.lit(None) for f in node.fields}
     for f in node.fields:
         if not resolves(df, columns[f.name]):
             raise SpecError(f"{node.name}: {f.value} of {f.name} names a column that its input has not")
@@ -138,8 +165,8 @@ def _several(node: NodeSpec, tables: Mapping[int, DataFrame], keys: list[FieldSp
     for f in node.fields:
         if f.key:
             continue
-        column = column_of(f.value, context.functions) if f.value else F.lit(1)
-        owner = _owner(node, f, tables)
+        column = _column(f, context) if f.value else F.lit(1)
+        owner = _owner(f, column, tables)
         if owner is None:
             everywhere.append(f)
         elif owner == -1:
@@ -158,14 +185,32 @@ def _several(node: NodeSpec, tables: Mapping[int, DataFrame], keys: list[FieldSp
             merged = merged.withColumn(f.name, sum((F.coalesce(F.col(f"_{f.name}_{i}"), F.lit(0)) for i in tables), F.lit(0).cast("long")))
         full = merged.select(*(f.name for f in node.fields))
     else:
-        # A column that needs several inputs is computed once all are there, from what they have.
-        needed = {i: {c: F.col(c) for c in tables[i].columns} for i in tables} if late else {i: {} for i in tables}
-        sides = [(tables[i], key_columns[i], {f.name: c for f, c in own[i]} | {f"_{i}_{c}": v for c, v in needed[i].items()}, order) for i in tables]
-        renamed: dict[str, Column] = {}
-        for f, _ in late:
-            renamed[f.name] = F.expr(_qualified(f.value, tables))
-        merged = merge_latest(sides, renamed)
-        full = merged.select(*(typed(F.col(f.name), f.type).alias(f.name) if f.key or all(f is not g for g, _ in late) else F.col(f.name) for f in node.fields))
+        # A column that needs several inputs is computed once all are there, from the rows they have.
+        sides = [(tables[i], key_columns[i], {f.name: c for f, c in own[i]} | ({"_row": F.struct("*")} if late else {}), order) for i in tables]
+        merged = merged_rows(sides)
+        place = {i: n for n, i in enumerate(tables)}
+        plain = [F.col(n) for n in names] + [typed(F.col(f"row_{place[i]}").getField(f.name), f.type).alias(f.name) for i in tables for f, _ in own[i]]
+        full = merged.select(F.struct(*plain).alias("_known"), "_complete", *(F.col(f"row_{n}._row").alias(f"_row_{n}") for n in place.values() if late))
+        computed = {}
+        for f, column in late:
+            if f.variables:
+                found = {}
+                for i in node.inputs:
+                    for v, spec in f.variables.items():
+                        one = _variables(node, FieldSpec(f.name, variables={v: spec}, value=f.value), [i], tables[i.id])
+                        found.setdefault(v, F.col(f"_row_{place[i.id]}").getField(one[v])) if one else None
+                if missing := set(f.variables) - set(found):
+                    raise SpecError(f"{node.name}: no input has {', '.join(sorted(missing))} of {f.name}")
+                column = F.expr(f.value)
+            else:
+                # Of inputs that share a name the first one is meant; variables tell them apart.
+                found = {c: F.col(f"_row_{place[i]}").getField(c) for i in reversed(list(tables)) for c in tables[i].columns}
+            narrow = full.select(F.struct("*").alias("_all"), *(c.alias(v) for v, c in found.items()))
+            if not resolves(narrow, column):
+                raise SpecError(f"{node.name}: {f.value} of {f.name} names a column that no input has")
+            computed[f.name] = f"_late_{f.name}"
+            full = narrow.select("_all", column.alias(computed[f.name])).select("_all.*", computed[f.name])
+        full = full.select(*((F.when(F.col("_complete"), F.col(computed[f.name])) if f.name in computed else F.col(f"_known.{f.name}")).alias(f.name) for f in node.fields))
     delta = None
     for i, df in tables.items():
         values = {f.name: (F.lit(1).cast("long") if f.method == "COUNT" else typed(c, f.type)) for f, c in own[i]} | {f.name: F.lit(1).cast("long") for f in everywhere} | key_columns[i]
@@ -178,12 +223,6 @@ def default_type(f: FieldSpec) -> str:
     return spark_type(f.type).simpleString()
 
 
-def _qualified(text: str, tables: Mapping[int, DataFrame]) -> str:
-    """A deferred text with each column under the name that its input's newest row has it by."""
-    owner = {c: i for i in reversed(list(tables)) for c in tables[i].columns}
-    return re.sub(r"\b[A-Za-z_]\w*\b", lambda m: f"`_{owner[m[0]]}_{m[0]}`" if m[0] in owner else m[0], text)
-
-
 def build_graph(nodes: Sequence[NodeSpec], context: Context) -> dict[int, NodeResult]:
     """All nodes by id. A node that several others read is planned once for all."""
     by_id = {n.id: n for n in nodes}

@@ -9,6 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 
+# Kinds of sources that a variable may have.
+MESSAGE, NODE, LOOKUP = 0, 1, 2
+
+
 class SpecError(ValueError):
     """A declaration that cannot be built."""
 
@@ -19,7 +23,8 @@ class FieldSpec:
 
     value: Spark SQL text, or ``class:<function>:f1,f2`` for a registered function. For a key of a
     node with several inputs: ``inputId:text;inputId:text``. source: the input that a column of
-    such a node is computed from, if its names do not tell.
+    such a node is computed from, if its names do not tell. variables: names that the value's text
+    uses, each with the kind and id of its source and its column there; the text then sees these only.
     """
 
     name: str
@@ -28,6 +33,7 @@ class FieldSpec:
     method: str = "NONE"
     key: bool = False
     source: int | None = None
+    variables: Mapping[str, tuple[int, int, str]] = field(default_factory=dict, hash=False)
 
 
 @dataclass(frozen=True)
@@ -66,19 +72,24 @@ class LookupSpec:
 
 @dataclass(frozen=True)
 class StoreSpec:
-    """A sink with a filter and a renaming projection; key names the columns that a row replaces by."""
+    """A sink with a filter and a renaming projection; key names the columns that a row replaces by.
+
+    interval_seconds: how often a continuous query hands its changed keys on (0: as fast as it can).
+    """
 
     target: str
     mapping: Mapping[str, str] = field(default_factory=dict)
     filter: str | None = None
     key: tuple[str, ...] = ()
-    buffer_rows: int = 0
     interval_seconds: int = 0
 
 
 @dataclass(frozen=True)
 class PushSpec:
-    """A message sink with a filter; key_kind: hash of the key, long field, or text of fields."""
+    """A message sink with a filter; key_kind: hash of the key, long field, or text of fields.
+
+    delta: it gets a row for each row that came in, else the rows of changed keys as they stand.
+    """
 
     kind: str
     target: str
@@ -87,6 +98,7 @@ class PushSpec:
     key_kind: str = "hash"
     key: tuple[str, ...] = ()
     options: Mapping[str, str] = field(default_factory=dict)
+    interval_seconds: int = 0
 
 
 @dataclass(frozen=True)
@@ -124,6 +136,10 @@ class NodeSpec:
             if j.parent not in known:
                 raise SpecError(f"{self.name}: lookup {j.lookup} follows {j.parent}, which is not joined before it")
             known.add(j.lookup)
+            if not j.on:
+                raise SpecError(f"{self.name}: lookup {j.lookup} has no key")
+            if len(self.inputs) > 1 and j.input is not None and j.input not in {i.id for i in self.inputs}:
+                raise SpecError(f"{self.name}: lookup {j.lookup} belongs to input {j.input}, which there is not")
 
 
 _NESTED = {"inputs": InputSpec, "fields": FieldSpec, "joins": JoinSpec, "stores": StoreSpec, "pushes": PushSpec}
@@ -154,6 +170,17 @@ def key_lists(text: str | None) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(c.strip() for c in k.split(",")) for k in (text or "").split(";") if k.strip())
 
 
+def variable_sources(text: str | None) -> dict[str, tuple[int, int, str]]:
+    """``variable:kind:id:column,...``: where each variable of a column's text comes from."""
+    out = {}
+    for part in (p for p in (text or "").split(",") if p.strip()):
+        found = [x.strip() for x in part.split(":")]
+        if len(found) != 4 or found[1] not in ("0", "1", "2") or not found[2].isdigit():
+            raise SpecError(f"no variable, kind, id and column in {part}")
+        out[found[0]] = (int(found[1]), int(found[2]), found[3])
+    return out
+
+
 def option_lines(text: str | None) -> dict[str, str]:
     """``key=value`` lines."""
     return {k.strip(): v.strip() for k, _, v in (line.partition("=") for line in (text or "").splitlines()) if k.strip() and _}
@@ -179,6 +206,8 @@ def nodes_from_tables(tables: Mapping[str, DataFrame]) -> list[NodeSpec]:
         return [{k: v for k, v in e.items() if k != "position"} for e in found]
 
     inputs, columns, joins, stores, pushes = (grouped(n) for n in ("input", "field", "join", "store", "push"))
+    for entry in (e for es in columns.values() for e in es if "variables" in e):
+        entry["variables"] = variable_sources(entry["variables"])
     for entry in (e for es in joins.values() for e in es):
         entry |= {"on": pairs(entry.get("on")), "take": pairs(entry.get("take"))}
     for entry in (e for es in stores.values() for e in es):

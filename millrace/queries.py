@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,9 +18,10 @@ from .operators.lookup import lookup_chain, lookup_join
 from .operators.merge import merge_latest, union_inputs
 from .plans.build import Context, build_graph
 from .plans.specs import FieldSpec, InputSpec, JoinSpec, LookupSpec, NodeSpec, PushSpec, StoreSpec
-from .sources.readers import sharded_query, table, table_stream
+from .sources.readers import shared_folder, sharded_query, table, table_stream
 from .sources.records import decode_records, decode_texts, encode_records
-from .sources.sinks import filtered, key_text, partition_of, pushed, stored
+from .sources.sinks import filtered, folder_writer, key_text, newest_rows, partition_of, pushed, stored
+from .streaming.graph import RunningGraph
 from .streaming.run import drained, first_in_bucket_stream, run_summary, running_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,8 +259,8 @@ def coerce_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lookup_memory(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "customer").filter("c_custkey % 3 <> 0")
-    return lookup_join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), known, {"o_custkey": "c_custkey"}, {"segment": "c_mktsegment", "balance": "c_acctbal", "nation": "c_nationkey"}, {"segment": "VARCHAR", "balance": "NUMBER(2)", "nation": "NUMBER"})
+    # Keys of parts go beyond those of customers, so some find none.
+    return lookup_join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table(spark, d, "customer"), {"l_partkey": "c_custkey"}, {"segment": "c_mktsegment", "balance": "c_acctbal", "nation": "c_nationkey"}, {"segment": "VARCHAR", "balance": "NUMBER(2)", "nation": "NUMBER"})
 
 
 @query
@@ -335,9 +337,39 @@ def multi_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge_latest(_meeting(spark, d))
 
 
+def _merging(**more) -> NodeSpec:
+    """Newest order and newest event of a person; the texts hold names of columns as plain words."""
+    fields = (
+        FieldSpec("person", "NUMBER", "1:o_custkey;2:user_id", key=True),
+        FieldSpec("last_price", "NUMBER(2)", "o_totalprice"),
+        FieldSpec("last_type", "VARCHAR", "event_type"),
+        FieldSpec("both", "NUMBER(2)", "o_totalprice + value"),
+        FieldSpec("text", "VARCHAR", "concat(o_orderstatus, ' value of ', event_type)"),
+        FieldSpec("renamed", "VARCHAR", "concat(a, ':', b)", variables={"a": (0, 10, "o_orderpriority"), "b": (0, 11, "event_type")}),
+    )
+    return NodeSpec(1, "meeting", (InputSpec(1, 10), InputSpec(2, 11)), fields, arrival_order=("at", "number"), **more)
+
+
+def _arriving(orders: DataFrame, events: DataFrame) -> Context:
+    return Context({10: orders.withColumns({"at": F.col("o_orderdate").cast("timestamp"), "number": F.col("o_orderkey")}), 11: events.withColumns({"at": F.col("ts").cast("timestamp"), "number": F.col("event_id")})})
+
+
 @query
 def multi_deferred_expr(spark: SparkSession, d: str) -> DataFrame:
-    return merge_latest(_meeting(spark, d), {"both": F.col("last_price") + F.col("last_value"), "text": F.concat("last_status", F.lit(":"), "last_type")})
+    return only([_merging()], _arriving(table(spark, d, "orders"), table(spark, d, "events")), 1)
+
+
+@query
+def stream_multi_merge(spark: SparkSession, d: str) -> DataFrame:
+    return drained(only([_merging()], _arriving(table_stream(spark, d, "orders"), table_stream(spark, d, "events")), 1), ["person"])
+
+
+@query
+def project_variables(spark: SparkSession, d: str) -> DataFrame:
+    customer = LookupSpec(5, "customer", (("c_custkey",),), {"segment": "VARCHAR"})
+    text = FieldSpec("text", "VARCHAR", "concat(status, ' status ', segment, n)", variables={"status": (0, 10, "o_orderstatus"), "segment": (2, 5, "c_mktsegment"), "n": (0, 10, "o_custkey")})
+    node = NodeSpec(1, "variables", (InputSpec(1, 10),), (FieldSpec("o_orderkey", "NUMBER", "o_orderkey"), text), (JoinSpec(5, {"o_custkey": "c_custkey"}, {"kind": "c_mktsegment"}),))
+    return only([node], Context({10: table(spark, d, "orders")}, {5: (customer, table(spark, d, "customer"))}), 1)
 
 
 @query
@@ -427,7 +459,7 @@ def stream_agg(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_lookup(spark: SparkSession, d: str) -> DataFrame:
-    found = lookup_join(table_stream(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").filter("c_custkey % 3 <> 0"), {"o_custkey": "c_custkey"}, {"segment": "c_mktsegment"}, {"segment": "VARCHAR"})
+    found = lookup_join(table_stream(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table(spark, d, "customer"), {"l_partkey": "c_custkey"}, {"segment": "c_mktsegment"}, {"segment": "VARCHAR"})
     return drained(found, mode="append")
 
 
@@ -437,18 +469,50 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.unix_seconds("bucket").alias("bucket_seconds"), "user_id", "event_type")
 
 
+def _meeting_node() -> NodeSpec:
+    return NodeSpec(1, "meeting", (InputSpec(1, 10), InputSpec(2, 11)), (FieldSpec("person", "NUMBER", "1:o_custkey;2:user_id", key=True), FieldSpec("spent", "NUMBER(2)", "o_totalprice", "SUM"), FieldSpec("orders", "NUMBER", "o_orderkey", "COUNT"), FieldSpec("events", "NUMBER", "event_id", "COUNT"), FieldSpec("total_value", "NUMBER(2)", "value", "SUM")))
+
+
 @query
 def stream_multi_group(spark: SparkSession, d: str) -> DataFrame:
-    orders = table_stream(spark, d, "orders").select(F.col("o_custkey").alias("person"), "o_totalprice", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_order"), F.lit(0).alias("is_event"))
-    events = table_stream(spark, d, "events").select(F.col("user_id").alias("person"), F.lit(None).cast("double").alias("o_totalprice"), "value", F.lit(0).alias("is_order"), F.lit(1).alias("is_event"))
-    measures = [Measure("spent", "SUM", "o_totalprice", "NUMBER(2)"), Measure("orders", "SUM", "is_order"), Measure("events", "SUM", "is_event"), Measure("total_value", "SUM", "value", "NUMBER(2)")]
-    return drained(aggregate(orders.unionByName(events), ["person"], measures), ["person"])
+    return drained(only([_meeting_node()], Context({10: table_stream(spark, d, "orders"), 11: table_stream(spark, d, "events")}), 1), ["person"])
 
 
 @query
 def stream_running(spark: SparkSession, d: str) -> DataFrame:
-    out = drained(running_stream(table_stream(spark, d, "events"), "user_id", ARRIVAL, "value"), mode="append")
-    return out.select("event_id", "user_id", "n", F.round("total", 2).alias("total"), "least", "greatest")
+    measures = [Measure("n", "COUNT"), Measure("total", "SUM", "value", "NUMBER(2)"), Measure("mean", "AVG", "value", "NUMBER(2)"), Measure("least", "MIN", "value", "NUMBER(2)"), Measure("greatest", "MAX", "value", "NUMBER(2)"), Measure("first_type", "FIRST", "event_type", "VARCHAR"), Measure("last_type", "LAST", "event_type", "VARCHAR")]
+    out = drained(running_stream(table_stream(spark, d, "events"), ["user_id"], ARRIVAL, measures), mode="append")
+    return out.select("event_id", "user_id", *(m.name for m in measures))
+
+
+def _delivered(spark: SparkSession, d: str, delta: bool) -> DataFrame:
+    """Orders of customers, run as a graph of continuous queries with a store and a push; what these got."""
+    node = NodeSpec(
+        1, "orders", (InputSpec(1, 10),),
+        (FieldSpec("segment", "VARCHAR", "segment", key=True), FieldSpec("orders", "NUMBER", method="COUNT"), FieldSpec("spent", "NUMBER(2)", "o_totalprice", "SUM")),
+        (JoinSpec(5, {"o_custkey": "c_custkey"}, {"segment": "c_mktsegment"}),),
+        stores=(StoreSpec("table", {"segment": "name", "orders": "n", "spent": "spent"}, key=("name",)),),
+        pushes=(PushSpec("kafka", "topic", delta=True, key_kind="text", key=("segment",)),),
+    )
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    writers = {"table": folder_writer(f"{folder}/table"), "kafka": folder_writer(f"{folder}/topic")}
+    lookups = {5: (LookupSpec(5, "customer", (("c_custkey",),), {"c_mktsegment": "VARCHAR"}), lambda: table(spark, d, "customer"))}
+    graph = RunningGraph([node], {10: table_stream(spark, d, "orders")}, writers, f"{folder}/checkpoints", lookups, once=True)
+    graph.start().stop()
+    if delta:
+        got = spark.read.schema("key string, value string, batch long").parquet(f"{folder}/topic")
+        return got.groupBy("key").agg(F.count(F.lit(1)).alias("pushed"), F.sum(F.get_json_object("value", "$.orders").cast("long")).alias("ones"))
+    return newest_rows(spark.read.schema("name string, n long, spent double, batch long").parquet(f"{folder}/table"), ["name"])
+
+
+@query
+def graph_store(spark: SparkSession, d: str) -> DataFrame:
+    return _delivered(spark, d, False)
+
+
+@query
+def graph_push_delta(spark: SparkSession, d: str) -> DataFrame:
+    return _delivered(spark, d, True)
 
 
 @query

@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.plans.build import Context, build_graph, changed
-from millrace.plans.specs import FieldSpec, InputSpec, JoinSpec, LookupSpec, NodeSpec, SpecError, StoreSpec, from_dict, key_lists, nodes_from_tables, option_lines, pairs
+from millrace.plans.specs import FieldSpec, InputSpec, JoinSpec, LookupSpec, NodeSpec, SpecError, StoreSpec, from_dict, key_lists, nodes_from_tables, option_lines, pairs, variable_sources
 
 
 def node(n=1, source=10, from_node=False, fields=None, **more):
@@ -56,6 +56,21 @@ def test_merge_node_defers_columns_of_both_inputs(spark):
     assert result.delta.count() == 3
 
 
+def test_texts_are_not_touched_and_variables_tell_inputs_apart(spark):
+    a = spark.createDataFrame([(1, 10, 1)], "k int, x int, at int")
+    b = spark.createDataFrame([(1, 5, 2)], "j int, x int, at int")
+    fields = (FieldSpec("key", "NUMBER", "1:k;2:j", key=True), FieldSpec("text", "VARCHAR", "concat(x, ' x at ', j, left('abc', k))"), FieldSpec("both", "NUMBER", "p - q", variables={"p": (0, 10, "x"), "q": (0, 11, "x")}), FieldSpec("own", "NUMBER", "p * 2", variables={"p": (0, 11, "x")}))
+    n = NodeSpec(1, "m", (InputSpec(1, 10), InputSpec(2, 11)), fields, arrival_order=("at",))
+    assert build_graph([n], Context({10: a, 11: b}))[1].full.first().asDict() == {"key": 1, "text": "10 x at 1a", "both": 5, "own": 10}
+    assert variable_sources("p:0:10:x, q:2:5:name") == {"p": (0, 10, "x"), "q": (2, 5, "name")}
+    for bad in ("p:3:1:x", "p:0:x", "p:0:y:x"):
+        with pytest.raises(SpecError):
+            variable_sources(bad)
+    lost = NodeSpec(1, "m", n.inputs, (fields[0], FieldSpec("z", "NUMBER", "p - q", variables={"p": (0, 10, "x"), "q": (0, 11, "none")})), arrival_order=("at",))
+    with pytest.raises(SpecError):
+        build_graph([lost], Context({10: a, 11: b}))
+
+
 def test_from_tables_and_dict_agree(spark):
     tables = {
         "node": spark.createDataFrame([(1, "n1", None)], "id int, name string, output_filter string"),

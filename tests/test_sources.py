@@ -1,16 +1,27 @@
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.specs import PushSpec, SpecError, StoreSpec
 from millrace.sources.readers import kafka_options
-from millrace.sources.records import decode_records, decode_row, encode_records, encode_row
+from millrace.sources.records import decode_columns, decode_records, encode_columns, encode_records
 from millrace.sources.sinks import deliver, filtered, key_text, newest_rows, partition_of, push_options, pushed, stored
 
 KINDS = ["NUMBER", "VARCHAR", "DECIMAL", "DATE"]
 
 
+def encode_row(row, kinds):
+    return encode_columns([pa.array([v]) for v in row], kinds)[0].as_py()
+
+
+def decode_row(data, kinds):
+    """Between other records, which must not be read into it."""
+    columns = decode_columns(pa.array([b"\x7f" * 40, data, None, b"\x7f" * 9], pa.binary()), kinds)
+    return [c[1].as_py() for c in columns]
+
+
 def test_record_format():
     data = encode_row((-7, "abc", 1.5, 0), KINDS)
     assert len(data) == 31 and data == struct.pack(">qi3sdq", -7, 3, b"abc", 1.5, 0)
@@ -22,6 +33,11 @@ def test_record_format():
     assert decode_row(encode_row((1, "größe ☃", 0.0, 1), KINDS), KINDS)[1] == "größe ☃"
 
 
+def test_odd_bytes_become_replacement_characters():
+    columns = decode_columns(pa.array([struct.pack(">i", 2) + b"\xff\xfe", struct.pack(">i", 1) + b"a"], pa.binary()), ["VARCHAR"])
+    assert columns[0].to_pylist() == ["\ufffd\ufffd", "a"]
+
+
 def test_records_of_rows(spark):
     layout = [("a", "NUMBER"), ("b", "VARCHAR"), ("c", "NUMBER(2)"), ("d", "DATE")]
     df = spark.sql("SELECT * FROM VALUES (1, 'x', 2.5D, timestamp_millis(1500)), (NULL, NULL, NULL, NULL), (3, '', -0.5D, timestamp_millis(-1)) AS t(a, b, c, d)")
