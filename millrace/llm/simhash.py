@@ -5,6 +5,10 @@ Distinct fingerprints are dealt into shards that agree on chosen bits, each shar
 keyed by their Hamming distance to the parent) is searched within the radius, and the links found
 join fingerprints to components.
 
+Fingerprints only estimate how many shingles two texts have in common. ``similar_texts`` therefore
+takes what its trees find as candidates, and a link is a pair whose sets of shingles are as similar
+as asked for.
+
 Trees of all fingerprints would grow with the corpus, so they are not broadcast: a shuffle brings
 each shard's fingerprints to its tree. With ``exact_shards`` two fingerprints within the radius meet
 in a shard for certain, by the pigeonhole principle; ``sampled_shards`` serve radii too wide for that.
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import spread_join, staged, unstage
 
 SEED = 42
 #: Odd multipliers that turn one shingle hash into further independent ones (fixed values).
@@ -92,17 +96,21 @@ class BKTree:
                 return
             v = kids[d]
 
-    def within(self, x: int, radius: int) -> Iterator[int]:
+    def near(self, x: int, radius: int) -> Iterator[tuple[int, int]]:
+        """(distance, member) of each member within the radius."""
         stack = [self.root]
         while stack:
             v = stack.pop()
             d = (v ^ x).bit_count()
             if d <= radius:
-                yield v
+                yield d, v
             for k, kid in self.children[v].items():
                 if d - radius <= k <= d + radius:
                     stack.append(kid)
 
+    def within(self, x: int, radius: int) -> Iterator[int]:
+        return (v for _, v in self.near(x, radius))
+
 
 class Clusters:
     """Components of the integers added, linked within the radius.
@@ -146,18 +154,21 @@ class Clusters:
                     yield v, least
 
 
-def fingerprints(docs: DataFrame, words: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, fingerprint (binary) of each row."""
+def fingerprints(docs: DataFrame, words: int, width: int, id_col: str, text_col: str, sets: bool = False) -> DataFrame:
+    """doc_id, text_hash, fingerprint (binary) of each row; with sets also shingles, sorted 32-bit hashes."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(t, words), width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fingerprint"])
+            hashes = [shingle_hashes(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([fingerprint(h, width) for h in hashes], pa.binary())]
+            if sets:
+                columns.append(pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fingerprint", "shingles"][: len(columns)])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return read.mapInArrow(run, f"doc_id {id_type}, text_hash long, fingerprint binary")
+    return read.mapInArrow(run, f"doc_id {id_type}, text_hash long, fingerprint binary" + ", shingles binary" * sets)
 
 
 def near_links(prints: DataFrame, width: int, radius: int, shards: list[list[int]], tree_size: int = 100_000) -> DataFrame:
@@ -252,12 +263,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, width: int = 64, radius: in
     empty result; other columns are not looked at.
     """
     prints = staged(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
-    found = components(near_links(prints, width, radius, shards or exact_shards(width, radius)))
+    return _components_of(prints, components(near_links(prints, width, radius, shards or exact_shards(width, radius))))
+
+
+def _components_of(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """prints with component_id, from the root of each linked fingerprint."""
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    rooted = least.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = staged(least.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")), "fingerprint-roots")
     of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(of_root, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+    classes = spread_join(rooted, of_root, ["root"]).select("fingerprint", "component_id")
+    return spread_join(prints.select("doc_id", "text_hash", "fingerprint"), classes, ["fingerprint"]).select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -266,14 +281,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The keeper has the smallest id, then the smallest text hash. Rows with one id and one text are
     one document: they stay or go together. Components without any id keep one text.
     """
-    marked = staged(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near-classes")
+    return _keepers(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def _keepers(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Null ids form components by their roots' fingerprints only if no id is there to name them.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
+    marked = staged(marked.withColumn("no_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).withColumn("group", F.xxhash64(F.coalesce(F.col("component_id").cast("string"), F.lit("")), "no_id")), "near-classes")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    keepers = marked.groupBy(group[0].alias("c"), group[1].alias("f")).agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "f", F.col("keeper").getField("doc_id").alias("keep_id"), F.col("keeper").getField("text_hash").alias("keep_hash"))
-    near = marked.withColumn("no_id", group[1])
-    same = F.col("component_id").eqNullSafe(F.col("c")) & F.col("no_id").eqNullSafe(F.col("f"))
-    dropped = near.join(keepers, same).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))))
+    found = marked.groupBy("group", F.col("component_id").alias("c"), F.col("no_id").alias("f")).agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keepers = found.select(F.struct("c", "f", F.col("keeper").getField("doc_id").alias("keep_id"), F.col("keeper").getField("text_hash").alias("keep_hash")).alias("keeper"), "group")
+    # Groups are joined by a hash; those of one hash are told apart afterwards.
+    keepers = keepers.groupBy("group").agg(F.collect_list("keeper").alias("keepers"))
+    joined = spread_join(marked, keepers, ["group"])
+    own = F.element_at(F.filter("keepers", lambda k: k["c"].eqNullSafe(F.col("component_id")) & k["f"].eqNullSafe(F.col("no_id"))), 1)
+    judged = joined.select("doc_id", "text_hash", F.when(F.size("keepers") == 1, F.col("keepers")[0]).otherwise(own).alias("k"))
+    dropped = judged.filter(~(F.col("doc_id").eqNullSafe(F.col("k.keep_id")) & (F.col("text_hash") == F.col("k.keep_hash"))))
     dropped = dropped.select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"))
     on = F.col("row_id").eqNullSafe(F.col("drop_id")) & (F.col("row_hash") == F.col("drop_hash"))
@@ -287,12 +309,104 @@ def similar_radius(similarity: float, width: int, deviations: float = 0.0) -> in
     return round(width * share + deviations * math.sqrt(width * share * (1 - share)))
 
 
-def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 256, deviations: float = 1.0, key_bits: int = 20, shards: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """drop_near_duplicates with wide fingerprints of long shingles, for a similarity of texts.
+def near_candidates(classes: DataFrame, width: int, radius: int, tight: int, shards: list[list[int]], turn: int) -> DataFrame:
+    """a, b: fingerprints of different classes within the radius, one of each pair a leader of a shard.
+
+    classes: fingerprint, root (null: a class of its own). A shard's fingerprints pass one after the
+    other, in an order that ``turn`` draws, a BK-tree of leaders: each is paired with the leaders
+    within the radius, and becomes one itself unless one is within ``tight`` bits. So a dense group
+    of n copies gives about n pairs, and a task holds the leaders of a shard only.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("fingerprint")
+            bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width // 8), axis=1).astype(np.int64)
+            for i, mask in enumerate(shards):
+                key = bits[:, mask] @ (np.int64(1) << np.arange(len(mask), dtype=np.int64)) + (np.int64(i) << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(key), column, batch.column("root")], ["shard", "fingerprint", "root"])
+
+    dealt = classes.select("fingerprint", "root").mapInArrow(keys, "shard long, fingerprint binary, root binary")
+    grouped = dealt.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(turn), "fingerprint"))
 
-    Fingerprints estimate the similarity, so the radius lies ``deviations`` above the bits that it
-    has on average: copies are rather found than missed. A radius so wide needs random shards: two
-    fingerprints at distance d meet in one with chance 1 - (1 - (1 - d / width) ** key_bits) ** shards,
-    and a group's other members may still link a pair that does not meet.
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders, of = None, None, {}
+        for batch in batches:
+            found: tuple[list[bytes], list[bytes]] = ([], [])
+            for shard, raw, root in zip(batch.column("shard").to_numpy().tolist(), batch.column("fingerprint").to_pylist(), batch.column("root").to_pylist()):
+                x, root = int.from_bytes(raw, "big"), root or raw
+                if shard != now:
+                    now, leaders, of = shard, BKTree(x), {x: (raw, root)}
+                    continue
+                close = False
+                for d, v in leaders.near(x, radius):
+                    close = close or d <= tight
+                    if of[v][1] != root:
+                        found[0].append(raw)
+                        found[1].append(of[v][0])
+                if not close:
+                    leaders.add(x)
+                    of[x] = (raw, root)
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in found], ["a", "b"])
+
+    pairs = grouped.mapInArrow(pair, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_links(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs whose sets of shingles have the share ``similarity`` of all their shingles in common."""
+    few = pairs.count() <= 500_000
+    ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
+    wanted = prints.join(F.broadcast(ends) if few else ends, "fingerprint", "left_semi")  # at most 64 bytes for each pair
+    sets = staged(wanted.groupBy("fingerprint").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                common = np.intersect1d(x, y, assume_unique=True).size if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                good.append(common >= similarity * (len(x) + len(y) - common) and common > 0)
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    left = spread_join(pairs, sets.select(F.col("fingerprint").alias("a"), F.col("shingles").alias("x")), ["a"])
+    both = left.join(sets.select(F.col("fingerprint").alias("b"), F.col("shingles").alias("y")), "b")
+    out = staged(both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary"), "similar-links")
+    unstage(sets)
+    return out
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 256, deviations: float = 2.0, key_bits: int = 18, shards: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fingerprint, component_id: as near_duplicates, with links by the texts' shingles.
+
+    A link is a pair with at least ``similarity`` of its word shingles in common (Jaccard). Candidates
+    are fingerprints within the bits that such texts have on average and ``deviations`` more, which
+    meet in one of ``shards`` shards: at distance d with chance 1 - (1 - (1 - d / width) ** key_bits) **
+    shards. Rounds of candidates between different classes go on until one confirms no link. Larger
+    corpora need longer keys, and more shards to keep that chance. Empty texts are equal.
     """
-    return drop_near_duplicates(docs, id_col, text_col, words=words, width=width, radius=similar_radius(similarity, width, deviations), shards=sampled_shards(width, key_bits, shards))
+    radius, tight = similar_radius(similarity, width, deviations), similar_radius((1 + similarity) / 2, width)
+    masks = sampled_shards(width, key_bits, shards)
+    prints = staged(fingerprints(docs, words, width, id_col, text_col, sets=True), "fingerprints")
+    classes = prints.select("fingerprint", F.lit(None).cast("binary").alias("root")).distinct()
+    links = seen = roots = None
+    turn = 0
+    while True:
+        pairs = near_candidates(classes, width, radius, tight, masks, turn)
+        pairs = staged(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "near-candidates")
+        confirmed = similar_links(pairs, prints, similarity)
+        if confirmed.isEmpty():
+            return _components_of(prints, roots if roots is not None else components(confirmed))
+        links = confirmed if roots is None else confirmed.union(roots.select("node", "root"))
+        seen = pairs if seen is None else seen.union(pairs)
+        roots = components(links)
+        # A fingerprint that found no other in the first round never does.
+        met = seen.select(F.col("a").alias("fingerprint")).union(seen.select("b")).distinct()
+        classes = met.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "root")
+        turn += 1
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """drop_near_duplicates with the components of similar_texts."""
+    return _keepers(docs, similar_texts(docs, similarity, id_col=id_col, text_col=text_col, **options), id_col, text_col)

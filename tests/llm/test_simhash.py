@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from helpers import edge_docs, edge_texts, prose, words
 
-from millrace.llm.simhash import BKTree, components, drop_near_duplicates, drop_similar, near_duplicates, near_links, similar_radius
+from millrace.llm.simhash import BKTree, components, drop_near_duplicates, drop_similar, near_duplicates, near_links, similar_radius, similar_texts
 
 
 def own_fingerprint(text):
@@ -113,3 +113,43 @@ def test_similar_texts_go_and_others_stay(spark):
     kept = {r.doc_id for r in drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {g * 10 for g in range(20)} | {g * 10 + 2 for g in range(20)}
     assert similar_radius(1.0, 256) == 0 and similar_radius(0.8, 256) == 39
+
+
+def test_similar_pairs_are_linked_and_others_are_not(spark):
+    """Pairs of known similarity: at least 0.9 of those above 0.8 by themselves, none below."""
+    draw, rows, similar = random.Random(3), [], {}
+    for g in range(240):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(150, 400))]
+        other = list(words)
+        for k in draw.sample(range(len(words)), max(1, round(len(words) * draw.choice([0.01, 0.015, 0.02, 0.03, 0.04])))):
+            other[k] = f"x{draw.randrange(5000)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other))
+        similar[g] = len(a & b) / len(a | b)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {g: got[2 * g + 1] == 2 * g for g in similar}
+    assert not any(linked[g] for g, s in similar.items() if s < 0.8)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        some = [linked[g] for g, s in similar.items() if low <= s < high]
+        assert len(some) >= 15 and sum(some) >= 0.9 * len(some), (low, len(some), sum(some))
+
+
+def test_dense_groups_are_one_component(spark):
+    rows = []
+    for g in range(3):
+        base = prose(300 + g, 300).split()
+        for i in range(80):
+            w = list(base)
+            w[(i * 7) % 300], w[(i * 13 + 5) % 300] = f"a{i}", f"b{i}"
+            rows.append((1000 * g + i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), shards=16).collect()}
+    assert all(c == d // 1000 * 1000 for d, c in got.items())
+
+
+def test_similar_edges(spark):
+    docs = edge_docs(spark)
+    kept = drop_similar(docs, shards=4)
+    assert kept.columns == docs.columns and drop_similar(docs.limit(0), shards=4).count() == 0
+    got = sorted(((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect() if r.text != prose(1, 20_000)), key=str)
+    assert [x for x in got if x[0] in (15, 16, 17)] == [(15, prose(2, 60))]
+    assert kept.filter("doc_id = 11").count() == 1 and kept.filter("doc_id = 12").count() == 0
