@@ -20,7 +20,7 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of texts that have 0.8 of their five-word shingles in common stays."""
+    """One document of each group of texts linked by 0.8 of their five-word shingles in common stays."""
     return drop_similar(docs)
 
 
