@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage.
 
     Readers depend on the files alone, so an executor lost later costs no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
