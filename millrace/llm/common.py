@@ -53,17 +53,18 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", least: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", least: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """rows joined with side, which has one row for each key, on keys; a key of very many rows is dealt out.
 
     Keys of more than ``least`` rows, and of more than one in 10,000 rows, get a salt from the rest of
     the row, and side's row of such a key is there once for each salt. Fewer than 10,000 keys can be
-    that frequent, so they are broadcast. rows are read twice: they should be staged. Rows with null
-    in a key find no partner.
+    that frequent, so they are broadcast. rows are read twice: they should be staged. counts: keys and
+    count of rows, if they are known. Rows with null in a key find no partner.
     """
     total = rows.count()
     limit = max(least, total // 10_000)
-    hot = rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
+    counted = rows.groupBy(*keys).count() if counts is None else counts
+    hot = counted.filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("salts"))
     hot = staged(hot, "hot-keys")
     if hot.isEmpty():
         unstage(hot)

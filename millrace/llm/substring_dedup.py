@@ -4,14 +4,17 @@ A word is removed if a window of ``window`` consecutive words that covers it occ
 Equal windows have their least hashed ``prefix``-gram at the same place, so only suffixes that start
 at such an anchor need to be looked at: about one word in fourteen. Anchors whose gram occurs once
 are dropped by a count. The rest are reduced to distinct contexts, the words that any window over
-the anchor can have, and are dealt out by their prefix: to trees if few contexts share the gram, and
-by prefixes grown to a whole window if more than ``tree_size`` do.
+the anchor can have, and are dealt out by a prefix that grows until a group fits a tree: it begins as
+the gram, which all windows over the anchor share. A group of more than ``tree_size`` contexts is
+split in two by how many words of the window lie left of the anchor; the windows of either half share
+more words, and these are its longer prefix. After at most five splits it is a whole window.
 
 A tree holds the contexts' suffixes to the right of their anchors; another holds the words to the
 left, backwards. Both are kept as sorted suffixes with the lengths of their common prefixes, which
 is a suffix tree without its pointers: a node at depth d is a run in which those reach d. A window
 with o words to the left of its anchor occurs again if another suffix shares both its node at depth
-window - o and its node at depth o in the tree of the left sides.
+window - o and its node at depth o in the tree of the left sides. A group whose prefix is a whole
+window is one node: it occurs as often as its contexts do.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, chunks, staged, unstage
+from .common import CHUNK, chunks, spread_join, staged, unstage
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -85,11 +88,12 @@ def anchors_of(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.n
     return found, grams[found]
 
 
-def repeated_windows(grams: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(grams: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, count: np.ndarray, window: int, low: np.ndarray | int = 0, high: np.ndarray | int = 64) -> np.ndarray:
     """For each context a bit mask: bit o if the window with o words left of the anchor occurs again.
 
     left: words before the anchor, nearest first; right: from the anchor on; zero beyond a text's
-    ends. count: how often the context occurs. Contexts are distinct for a gram.
+    ends. count: how often the context occurs. Contexts are distinct for a gram, or any other prefix
+    that stands for their group. low, high: the least and greatest o that is looked at.
     """
 
     def tree(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ def repeated_windows(grams: np.ndarray, left: np.ndarray, right: np.ndarray, n_l
     by_right, by_left = tree(right), tree(np.concatenate([grams[:, None], left], 1))
     mask = np.zeros(len(grams), np.int64)
     for o in range(left.shape[1] + 1):
-        fits = (n_left >= o) & (n_right >= window - o)
+        fits = (n_left >= o) & (n_right >= window - o) & (low <= o) & (o <= high)
         at = np.flatnonzero(fits)
         if not len(at):
             continue
@@ -148,19 +152,22 @@ def covered_words(docs: DataFrame, window: int = 35, prefix: int = 8, tree_size:
                 yield pa.RecordBatch.from_arrays([_signed(grams), _signed(context), pa.array(k1[a:b][of]), pa.array(k2[a:b][of]), pa.array((at - first).astype(np.int32))], ["gram", "context", "k1", "k2", "pos"])
 
     anchors = staged(keyed.mapInArrow(find, "gram long, context long, k1 long, k2 long, pos int"), "anchors")
-    often = anchors.groupBy("gram").count().filter("count > 1").select("gram")
-    found = anchors.join(often, "gram").groupBy("gram", "context", "k1", "k2", "pos").agg(F.count(F.lit(1)).alias("n"))
+    often = staged(anchors.groupBy("gram").count().filter("count > 1"), "repeated-grams")
+    found = spread_join(anchors, often.select("gram"), ["gram"], counts=often).groupBy("gram", "context", "k1", "k2", "pos").agg(F.count(F.lit(1)).alias("n"))
     found = staged(found, "repeated-anchors")
     unstage(anchors)
 
-    contexts = staged(found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")), "contexts")
+    contexts = staged(found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"), F.count(F.lit(1)).alias("places")), "contexts")
     variants = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("variants"))
-    varied = contexts.join(variants, "gram")
+    varied = spread_join(contexts, variants, ["gram"])
     every = (1 << (reach + 1)) - 1
     alone = varied.filter("variants = 1").select("gram", "context", F.lit(every).cast("long").alias("mask"))
 
-    wanted = varied.filter("variants > 1").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("gram", "context", "n", F.col("one.pos").alias("pos"), (F.col("variants") > tree_size).alias("hot"))).alias("wanted"))
+    wanted = varied.filter("variants > 1").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("gram", "context", "n", F.col("one.pos").alias("pos"), (F.col("variants") > tree_size).alias("crowded"))).alias("wanted"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    shape = "prefix long, low int, high int, gram long, context long, n long, crowded boolean, n_left int, n_right int, left binary, right binary"
+    names = [part.split()[0] for part in shape.split(", ")]
+    pack = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words around each wanted anchor."""
@@ -175,54 +182,73 @@ def covered_words(docs: DataFrame, window: int = 35, prefix: int = 8, tree_size:
                 left = padded[(at + reach - 1)[:, None] - np.arange(reach)]
                 right = padded[(at + reach)[:, None] + np.arange(window)]
                 n_left, n_right = np.minimum(at, reach), np.minimum(total - at, window)
-                pack = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([asked.field("gram"), asked.field("context"), asked.field("n"), asked.field("hot"), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), pack(left), pack(right)], ["gram", "context", "n", "hot", "n_left", "n_right", "left", "right"])
+                whole = [pa.array(np.full(len(at), x, np.int32)) for x in (0, reach)]
+                yield pa.RecordBatch.from_arrays([asked.field("gram"), *whole, *(asked.field(c) for c in ("gram", "context", "n", "crowded")), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), pack(left), pack(right)], names)
 
-    cuts = staged(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "gram long, context long, n long, hot boolean, n_left int, n_right int, left binary, right binary"), "cut-contexts")
+    def sides(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, w) for c, w in (("left", reach), ("right", window)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each context in either half of its windows, if it has all words that those share."""
+        power = _power("words", reach + window)[0]
+        for batch in batches:
+            low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+            n_left, n_right = (batch.column(c).to_numpy() for c in ("n_left", "n_right"))
+            left, right = sides(batch)
+            line = np.concatenate([left[:, ::-1], right], 1)
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                own = np.flatnonzero((n_left >= a) & (n_right >= window - b))
+                a, b = a[own], b[own]
+                at = np.arange(reach + window)
+                shared = (at >= (reach - a)[:, None]) & (at < (reach + window - b)[:, None])
+                prefix = _mix((np.where(shared, line[own], np.uint64(0)) * power[: reach + window]).sum(1, dtype=np.uint64) + (a * 64 + b).astype(np.uint64))
+                rest = batch.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([_signed(prefix), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(rest.column(c) for c in names[3:])], names)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Trees over whole grams: a batch's last gram waits for the next batch."""
+        """Trees over whole groups: a batch's last group waits for the next batch."""
         rest: pa.Table | None = None
 
         def solve(t: pa.Table) -> pa.RecordBatch:
-            side = lambda c, w: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), w)
             number = lambda c: t.column(c).to_numpy()
-            mask = repeated_windows(number("gram").view(np.uint64), side("left", reach), side("right", window), number("n_left"), number("n_right"), number("n"), window)
+            mask = repeated_windows(number("prefix").view(np.uint64), *sides(t), number("n_left"), number("n_right"), number("n"), window, number("low"), number("high"))
             return pa.RecordBatch.from_arrays([pa.array(number("gram")), pa.array(number("context")), pa.array(mask)], ["gram", "context", "mask"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            gram = table.column("gram").to_numpy()
-            whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
+            prefix = table.column("prefix").to_numpy()
+            whole = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0
             if whole:
                 yield solve(table.slice(0, whole))
             rest = table.slice(whole)
         if rest is not None and len(rest):
             yield solve(rest)
 
-    in_trees = cuts.filter("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(grow, "gram long, context long, mask long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every window of a context, by a hash of its words: a prefix of full length."""
-        for batch in batches:
-            for i in range(len(batch)):
-                left = np.frombuffer(batch.column("left")[i].as_py(), np.uint64)[::-1]
-                right = np.frombuffer(batch.column("right")[i].as_py(), np.uint64)
-                line = np.concatenate([left, right])
-                views = np.lib.stride_tricks.sliding_window_view(line, window)[: reach + 1]
-                o = reach - np.arange(reach + 1)
-                fits = (o <= batch.column("n_left")[i].as_py()) & (window - o <= batch.column("n_right")[i].as_py())
-                hashes = _mix((views * _power("words", window)[0][:window]).sum(1, dtype=np.uint64))[fits]
-                same = lambda c: pa.array(np.full(int(fits.sum()), batch.column(c)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([same("gram"), same("context"), same("n"), pa.array(np.int64(1) << o[fits]), _signed(hashes)], ["gram", "context", "n", "bit", "words"])
-
-    hot = cuts.filter("hot").mapInArrow(windows, "gram long, context long, n long, bit long, words long")
-    again = hot.groupBy("gram", "words").agg(F.sum("n").alias("all")).filter("all > 1").select("gram", "words")
-    by_window = hot.join(again, ["gram", "words"]).groupBy("gram", "context").agg(F.bit_or("bit").alias("mask"))
-
-    masks = alone.unionByName(in_trees).unionByName(by_window).filter("mask <> 0")
-    return found.join(masks, ["gram", "context"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "mask")).alias("spans"))
+    groups = staged(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, shape), "contexts-by-prefix")
+    used, masks = [groups], alone
+    while True:
+        trees = groups.filter("NOT crowded").repartition("prefix").sortWithinPartitions("prefix")
+        masks = masks.unionByName(trees.mapInArrow(grow, "gram long, context long, mask long"))
+        crowded = groups.filter("crowded")
+        if crowded.isEmpty():
+            break
+        halves = staged(crowded.mapInArrow(split, shape).drop("crowded"), "split-contexts")
+        sizes = halves.groupBy("prefix").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("all"))
+        sized = spread_join(halves, sizes, ["prefix"])
+        # A prefix that is a whole window needs no tree, however many contexts have it.
+        whole = F.col("low") == F.col("high")
+        masks = masks.unionByName(sized.filter(whole & (F.col("all") > 1)).select("gram", "context", F.expr("shiftleft(1L, low)").alias("mask")))
+        groups = staged(sized.filter(~whole & (F.col("all") > 1)).withColumn("crowded", F.col("contexts") > tree_size).select(*names), "contexts-by-prefix")
+        used += [halves, groups]
+
+    masks = staged(masks.groupBy("gram", "context").agg(F.bit_or("mask").alias("mask")).filter("mask <> 0"), "repeated-windows")
+    places = contexts.select("gram", "context", F.col("places").alias("count"))
+    spans = staged(spread_join(found, masks, ["gram", "context"], counts=places).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "mask")).alias("spans")), "repeated-spans")
+    for done in (*used, found, contexts, often, masks):
+        unstage(done)
+    return spans
 
 
 def removed_words(n_words: int, pos: np.ndarray, mask: np.ndarray, window: int, reach: int) -> np.ndarray:
@@ -272,6 +298,6 @@ def drop_repeats(docs: DataFrame, window: int = 35, prefix: int = 8, tree_size:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     judged = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "spans").mapInArrow(judge, kinds)
-    rows = docs.select(F.col(id_col).alias("id"), *_keyed(text))
-    result = rows.join(judged, ["k1", "k2"])
+    rows = staged(docs.select(F.col(id_col).alias("id"), *_keyed(text)), "row-keys")
+    result = spread_join(rows, judged, ["k1", "k2"])
     return result.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)
