@@ -25,18 +25,18 @@ def unique_rows(lookup: DataFrame, key: Sequence[str], order: Sequence[str] = ()
     return found.select(*key, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], take: Mapping[str, str], types: Mapping[str, str] | None = None, order: Sequence[str] = (), check: str | None = None) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], take: Mapping[str, str], types: Mapping[str, str] | None = None, order: Sequence[str] = (), check: str | None = None, unique: bool = False) -> DataFrame:
     """df with columns of the lookup: every row of df once.
 
     on: column of df to key column of the lookup; take: new name to column of the lookup; types:
     declared types of new names, whose defaults stand for misses and nulls (others stay null). The
-    lookup's rows are made unique first. Spark broadcasts the lookup if its size allows, by its
+    lookup's rows are made unique first, unless they are known to be (``unique``). Spark broadcasts the lookup if its size allows, by its
     statistics or as it has found it at run time.
     """
     small = lookup.select(*dict.fromkeys([*on.values(), *take.values(), *order, *lookup_columns(lookup, check)]))
-    unique = unique_rows(small, list(on.values()), order, check)
+    found = (small.filter(check) if check else small) if unique else unique_rows(small, list(on.values()), order, check)
     own = free_prefix(df.columns)
-    side = unique.select(*(F.col(k).alias(f"{own}on{i}") for i, k in enumerate(on.values())), *(F.col(c).alias(f"{own}take{i}") for i, c in enumerate(take.values())))
+    side = found.select(*(F.col(k).alias(f"{own}on{i}") for i, k in enumerate(on.values())), *(F.col(c).alias(f"{own}take{i}") for i, c in enumerate(take.values())))
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{own}on{i}") for i, c in enumerate(on)])
     types = types or {}
     taken = [(F.coalesce(F.col(f"{own}take{i}"), default(types[n])) if n in types else F.col(f"{own}take{i}")).alias(n) for i, n in enumerate(take)]

@@ -61,7 +61,7 @@ def with_lookups(node: NodeSpec, df: DataFrame, joins: Sequence[JoinSpec], conte
         if missing:
             raise SpecError(f"{node.name}: {', '.join(missing)} is in no input or lookup before {spec.name}")
         types = {new: spec.types[c] for new, c in j.take.items() if c in spec.types}
-        df = lookup_join(df, table, j.on, j.take, types, spec.order, spec.check)
+        df = lookup_join(df, table, j.on, j.take, types, spec.order, spec.check, spec.unique)
     return df
 
 

@@ -60,7 +60,10 @@ class JoinSpec:
 
 @dataclass(frozen=True)
 class LookupSpec:
-    """A dimension table. unique_keys: each a list of columns; order decides which of equals is last; check filters."""
+    """A dimension table. unique_keys: each a list of columns; order decides which of equals is last; check filters.
+
+    unique: its source sees to it that no key occurs twice, so none has to be looked for.
+    """
 
     id: int
     name: str
@@ -68,6 +71,7 @@ class LookupSpec:
     types: Mapping[str, str] = field(default_factory=dict)
     order: tuple[str, ...] = ()
     check: str | None = None
+    unique: bool = False
 
 
 @dataclass(frozen=True)

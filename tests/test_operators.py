@@ -112,3 +112,12 @@ def test_buckets(spark):
     assert sorted(r.id for r in first_in_bucket(df, ["k"], "ts", ["ts", "id"]).collect()) == [1, 3, 4, 6]
     assert {r.id: r.seen for r in seen_before(df, ["k"], "ts", ["ts", "id"]).collect()} == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False}
     assert sorted(r.id for r in contains(df, df.filter("id = 2"), ["k"], "ts").collect()) == [1, 2]
+
+
+def test_lookups_known_to_be_unique_need_no_aggregate(spark):
+    df, dim = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, name string")
+    options = {"on": {"k": "id"}, "take": {"name": "name"}, "types": {"name": "VARCHAR"}, "check": "name <> 'b'"}
+    plain, known = lookup_join(df, dim, **options), lookup_join(df, dim, **options, unique=True)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, known.collect()), key=str) == [(1, "a"), (2, ""), (None, "")]
+    plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(plain) and "Aggregate" not in plan(known)
