@@ -23,7 +23,7 @@ from .common import WHITE_SPACE, staged
 SPLITTER = 16
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot_share: float = 0.001, hot_least: int = 256, salts: int = 64) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot_share: float = 0.0001, hot_least: int = 256, salts: int = 256) -> DataFrame:
     """One row for each input row: ``row`` (its columns, or those of carry), keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without white space. Of equals the row with the most

@@ -65,6 +65,7 @@ def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all vectors, those of every twentieth also edited: which are copies of which."""
     drawn = pictures(read(spark, sf_dir, "embeddings"))
     named = drawn.select(F.struct(F.col("id").alias("vec_id"), "edited").alias("row"), "image")
     found = media_copies.find_image_copies(named, "row")
@@ -72,38 +73,46 @@ def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and checksums of what is read back from them."""
     path = token_files.new_path(spark)
     token_files.write_token_files(read(spark, sf_dir, "documents"), path, public_path(), END_ID)
     return token_files.token_file_digests(spark, path)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group and keeper of every document."""
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document repeated passages take, and a digest of the rest."""
     return substring_dedup.drop_repeats(read(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document."""
     mixed = mixing.pareto_mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "expected", "taken", "copies")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of 4096 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_path(), END_ID)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extraction.extract_main_text(read(spark, sf_dir, "pages"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a network learned from labels that are not held out."""
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train_toxicity(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model)
@@ -111,6 +120,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document."""
     marked = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 

@@ -6,7 +6,9 @@ stream (two bits each, the first id in the lowest bits); rank bytes, lowest firs
 stream. Decoding looks lengths and masks up in numpy tables, without a branch for any id.
 
 A file set is a folder: ``ids`` has rows (doc_id, start, n_tokens, control, data) in Parquet, dealt
-into ``shard=N`` folders that ascend by doc_id, ascending inside each; ``ranks`` has id by rank.
+into ``shard=N`` folders that ascend by doc_id, and ascending inside each file. A shard that Spark has
+read in several parts has several files, each a range of its own: ``start``, of which Parquet keeps
+the least and greatest, orders them. ``ranks`` has id by rank.
 """
 
 from __future__ import annotations
@@ -102,7 +104,12 @@ def rank_ids(encoded: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes whole documents and writes a file set; empty tables give an empty one."""
+    """Encodes whole documents and writes a file set; empty tables give an empty one.
+
+    Null texts have the end id alone. Null ids come first, rows with one id stay together, equal rows
+    are written as often as they are there. Very long texts are one row each, whole. Other columns are
+    not looked at.
+    """
     spark = docs.sparkSession
     encoded = staged(encode_documents(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
     by_rank = rank_ids(encoded, tokenizer_path, end_id)

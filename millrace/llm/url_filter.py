@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join, staged
+
 PREFIX_DIGITS = 8
 
 
@@ -42,7 +44,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     depths = [r[0] for r in rules.filter("host IS NOT NULL").select(F.size(F.split("host", "[.]"))).distinct().collect()]
     lengths = [r[0] for r in rules.filter("path IS NOT NULL").select(F.length("path")).distinct().collect()]
 
-    judged = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    judged = staged(pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")), "judged-urls")
     urls = judged.select("host", "path").filter("host <> ''").distinct()
     labels = F.split("host", "[.]")
     suffixes = F.filter(F.transform(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))), lambda x: x.isNotNull())
@@ -50,6 +52,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     expanded = urls.select("host", "path", F.explode(suffixes).alias("suffix"), starts.alias("starts")).select("host", "path", "suffix", F.explode("starts").alias("start"))
     hashed = expanded.select("host", "path", expression(F.col("suffix"), F.col("start")).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     hits = hashed.join(known, "prefix").filter("digest = rule_digest")
-    best = hits.groupBy("host", "path").agg(F.max("rule").alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best")
-    joined = judged.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    best = hits.groupBy("host", "path").agg(F.max("rule").alias("best"))
+    # One url, or none at all, may be that of very many rows.
+    joined = spread_join(judged, best, ["host", "path"], "left")
     return joined.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
