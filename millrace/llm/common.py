@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,9 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "i
         unstage(hot)
         return rows.join(side, keys, how)
     of_key = F.coalesce("salts", F.lit(1))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), of_key).cast("int")).drop("salts")
+    # Rows that find no partner anyway may lie anywhere.
+    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.when(lost, F.lit(10_000)).otherwise(of_key)).cast("int")).drop("salts")
     copies = side.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), of_key - 1))).drop("salts")
     return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
