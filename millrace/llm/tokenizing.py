@@ -23,7 +23,7 @@ class Encoder:
     then encoded once and remembered, up to ``remember`` of them. All others encode whole texts.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

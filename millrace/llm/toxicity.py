@@ -48,7 +48,7 @@ def text_words(text: bytes) -> Iterator[list[bytes]]:
 class Scorer:
     """Scores texts; the inputs of up to ``remember`` distinct words are kept between calls."""
 
-    def __init__(self, model: dict, remember: int = 200_000):
+    def __init__(self, model: dict, remember: int = 100_000):
         self.model, self.remember = model, remember
         self._forget()
 
