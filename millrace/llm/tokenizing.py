@@ -20,10 +20,10 @@ class Encoder:
     """Token ids of a ``tokenizers`` file, without special tokens of its own, as packed integers.
 
     Tokenizers that drop white space and mark ends of words encode each word by itself; words are
-    then encoded once and remembered, up to ``remember`` of them. All others encode whole texts.
+    then encoded once and remembered, up to ``remember`` of them; those not used for long go first. All others encode whole texts.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,6 +40,7 @@ class Encoder:
             self.ends = np.zeros(size, bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
             self.words: dict[bytes, bytes] = {}
+            self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, packed as ``kind``."""
@@ -54,10 +55,12 @@ class Encoder:
         split = [t.split() for t in texts]
         missing = set(chain.from_iterable(split)).difference(self.words)
         if missing:
-            if len(self.words) + len(missing) > self.remember:
-                self.words.clear()
+            if len(self.words) + len(missing) > self.remember // 2:
+                self.older, self.words = self.words, {}
                 missing = set(chain.from_iterable(split))
-            self._learn(missing)
+            known = missing.intersection(self.older)
+            self.words.update((w, self.older[w]) for w in known)
+            self._learn(missing - known)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
