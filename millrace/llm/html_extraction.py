@@ -110,10 +110,11 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, str
 def repeats(parsed: DataFrame, length: int, shard_words: int, most: float, least_texts: int) -> DataFrame:
     """host, marked, key, at (array): where a boilerplate substring of length words starts in a judged text.
 
-    Outside, that is a substring of two distinct pages; inside main texts, one of more than ``most`` of
-    the host's distinct texts, ``least_texts`` at least. A hot host is dealt into shards of about
-    shard_words words; in a shard of which fewer than half that share of the texts have a substring,
-    it counts as not there.
+    Outside, that is a substring of two distinct pages; inside main texts, one of ``most`` of the
+    host's distinct texts, ``least_texts`` at least. A hot host is dealt into shards of about
+    shard_words words. A substring on enough of its texts is, in some shard, on the part of them that
+    the shard's share of the host's pieces makes; those of each shard that are become candidates, which
+    all the host's shards are then searched for, so they are counted everywhere.
     """
     # Streams outside matter only on hosts with a page that marks nothing.
     unmarked = parsed.filter("NOT marked").select("host").distinct().withColumn("asked", F.lit(True))
@@ -133,13 +134,19 @@ def repeats(parsed: DataFrame, length: int, shard_words: int, most: float, least
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("host", "kind", "key")), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["host", "kind", "key", "start", "words"])
 
     pieces = sides.filter("words IS NOT NULL").mapInArrow(cut, "host string, kind int, key long, start long, words binary")
-    sizes = sides.filter("words IS NOT NULL").groupBy("host").agg((F.sum(F.length("words")) / F.lit(2 * shard_words)).cast("int").alias("more"))
+    own = sides.filter("words IS NOT NULL").groupBy("host", "kind", "key").agg(F.sum(F.length("words")).alias("bytes"), F.max(F.length("words") / F.lit(2)).cast("long").alias("n"))
+    main = F.col("kind") == INSIDE
+    cuts = F.when(main & (F.col("n") >= length), F.floor((F.col("n") - length) / F.lit(PIECE)) + 1).otherwise(0)
+    sizes = own.groupBy("host").agg((F.sum("bytes") / F.lit(2 * shard_words)).cast("int").alias("more"), F.sum(main.cast("long")).alias("all_texts"), F.sum(cuts).alias("pieces"))
     sizes = staged(sizes, "host-words")
-    dealt = pieces.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "host").withColumn("shard", F.pmod(F.xxhash64("key", "start"), F.col("more") + 1))
+    few_hosts = sizes.count() <= 100_000
+    dealt = pieces.join(F.broadcast(sizes) if few_hosts else sizes, "host").withColumn("shard", F.pmod(F.xxhash64("key", "start"), F.col("more") + 1))
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        whole_host = group["more"].iloc[0] == 0
-        found = []
+    def node_of(window: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(window.tobytes()) - (1 << 63)
+
+    def kinds_of(group: pd.DataFrame) -> Iterator[tuple]:
+        """kind, pieces, nodes' starts, their texts, words, and the keys and places of all their occurrences."""
         for kind, rows in group.drop_duplicates(["kind", "key", "start"]).groupby("kind"):  # copies of a text
             parts = [np.frombuffer(w, np.uint16) for w in rows["words"]]
             counts = np.array([len(p) for p in parts])
@@ -147,38 +154,63 @@ def repeats(parsed: DataFrame, length: int, shard_words: int, most: float, least
             order, starts = nodes(tokens, piece, length)
             if not len(starts):
                 continue
-            keys = rows["key"].to_numpy()
-            key = keys[piece[order]]
+            key = rows["key"].to_numpy()[piece[order]]
             first = np.concatenate([[0], np.cumsum(counts)[:-1]])
             at = order - first[piece[order]] + rows["start"].to_numpy()[piece[order]]
-            ends = np.append(starts[1:], len(order))
-            node = np.repeat(np.arange(len(starts)), ends - starts)
+            node = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
             by_key = np.lexsort((key, node))
             new = (np.diff(node[by_key], prepend=-1) != 0) | (np.diff(key[by_key], prepend=0) != 0)
             texts = np.bincount(node[by_key][new], minlength=len(starts))
-            if kind == INSIDE:
-                wanted = np.flatnonzero(texts >= np.maximum(2, len(np.unique(keys)) * most / 2))
-            else:
-                # A host of one shard is judged here; nodes of one page may go on in other shards else.
-                wanted = np.flatnonzero(texts > 1) if whole_host else np.arange(len(starts))
-            words = np.lib.stride_tricks.sliding_window_view(tokens, length)[order[starts[wanted]]]
-            found += [(kind, xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63), int(texts[i]), key[starts[i] : ends[i]], at[starts[i] : ends[i]]) for i, w in zip(wanted, words)]
-        out = pd.DataFrame(found, columns=["kind", "node", "texts", "keys", "at"])
+            yield kind, len(parts), np.append(starts, len(order)), texts, np.lib.stride_tricks.sliding_window_view(tokens, length)[order[starts]], key, at
+
+    def frame(group: pd.DataFrame, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=["kind", "node", "whole", "keys", "at"])
         out.insert(0, "host", pd.Series([group["host"].iloc[0]] * len(out), dtype=object))
         return out
 
-    shape = "host string, kind int, node long, texts long, keys array<long>, at array<long>"
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        more, all_texts, pieces = (int(group[c].iloc[0]) for c in ("more", "all_texts", "pieces"))
+        found = []
+        for kind, n, starts, texts, windows, key, at in kinds_of(group):
+            if kind == INSIDE:  # the rounding of a product never costs a candidate
+                wanted = np.flatnonzero(texts * pieces >= max(least_texts, all_texts * most) * n * (1 - 1e-9))
+            else:
+                # A host of one shard is judged here; nodes of one page may go on in other shards else.
+                wanted = np.flatnonzero(texts > 1) if more == 0 else np.arange(len(starts) - 1)
+            none = np.zeros(0, np.int64)
+            named = kind == INSIDE and more > 0  # its places are looked up in all shards
+            found += [(kind, node_of(windows[i]), more == 0, none if named else key[starts[i] : starts[i + 1]], none if named else at[starts[i] : starts[i + 1]]) for i in wanted]
+        return frame(group, found)
+
+    def search(group: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        asked, found = set(candidates["node"].tolist()), []
+        for kind, _, starts, _, windows, key, at in kinds_of(group) if asked and len(group) else ():
+            for i, window in enumerate(windows):
+                if (node := node_of(window)) in asked:
+                    found.append((kind, node, False, key[starts[i] : starts[i + 1]], at[starts[i] : starts[i + 1]]))
+        return frame(group if len(group) else candidates, found)
+
+    shape = "host string, kind int, node long, whole boolean, keys array<long>, at array<long>"
     shards = staged(dealt.groupBy("host", "shard").applyInPandas(build, shape), "suffix-nodes")
-    totals = parsed.filter("marked AND inside IS NOT NULL").select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_texts"))
-    counted = shards.groupBy("host", "kind", "node").agg(F.sum("texts").alias("texts")).join(totals, "host", "left")
-    common = F.when(F.col("kind") == INSIDE, F.col("texts") >= F.greatest(F.lit(least_texts), F.col("all_texts") * most)).otherwise(F.col("texts") > 1)
-    wanted = counted.filter(common).select("host", "kind", "node")
-    places = shards.join(wanted, ["host", "kind", "node"]).select("host", (F.col("kind") == INSIDE).alias("marked"), F.explode(F.arrays_zip("keys", "at")).alias("p"))
+    candidates = staged(shards.filter((F.col("kind") == INSIDE) & ~F.col("whole")).select("host", "node").distinct(), "candidates")
+    known = shards.filter(F.size("keys") > 0)
+    if not candidates.isEmpty():
+        asked = candidates.join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("shard"), "node")
+        hosts = candidates.select("host").distinct()
+        texts = dealt.filter(main).join(F.broadcast(hosts) if few_hosts else hosts, "host", "left_semi")
+        looked_up = staged(texts.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(search, shape), "candidate-places")
+        known = known.unionByName(looked_up)
+    node = ["host", "kind", "node"]
+    # Pieces of one text may lie in several shards: texts are counted by their keys.
+    inside = known.filter(main).select(*node, F.explode(F.array_distinct("keys")).alias("key")).distinct().groupBy(*node).agg(F.count(F.lit(1)).alias("texts"))
+    inside = inside.join(sizes, "host").filter(F.col("texts") >= F.greatest(F.lit(least_texts), F.col("all_texts") * most)).select(*node)
+    outside = known.filter(~main).groupBy(*node).agg(F.min(F.array_min("keys")).alias("x"), F.max(F.array_max("keys")).alias("y")).filter("x <> y").select(*node)
+    places = known.join(inside.unionByName(outside), node).select("host", main.alias("marked"), F.explode(F.arrays_zip("keys", "at")).alias("p"))
     spans = places.groupBy("host", "marked", F.col("p.keys").alias("key")).agg(F.collect_list("p.at").alias("at"))
     judged = parsed.filter("NOT marked").select("host", "marked", "key").distinct()
     out = staged(spans.filter("marked").unionByName(spans.filter("NOT marked").join(judged, ["host", "marked", "key"], "left_semi")), "page-repeats")
-    unstage(shards)
-    unstage(sizes)
+    for done in (shards, sizes, *([] if candidates.isEmpty() else [looked_up]), candidates):
+        unstage(done)
     return out
 
 

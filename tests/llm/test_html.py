@@ -155,3 +155,13 @@ def test_articles_stay_whole_and_edges(spark):
     assert [got[k].text for k in (3, 4, 5)] == ["", "", ""] and got[None].text == "a b"
     assert got[6].n_chars == 70_000 * 5 - 1
     assert extract_main_text(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def test_a_hot_hosts_shards_count_together(spark):
+    """Shards of a text or two: notices that a shard has seldom or once, and a long page in many pieces."""
+    rows = [(i, f"http://a.org/{i}", f"<article><p>{prose(i, 40)}</p>{f'<p>{prose(900, 14)}</p>' if i % 9 < 5 else ''}</article>") for i in range(45)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<article><p>{prose(i, 40)}</p>{f'<p>{prose(900, 14)}</p>' if i % 9 < 4 else ''}</article>") for i in range(45)]
+    rows.append((200, "http://c.org/long", "<p>" + "word " * 140_000))
+    got = {r.page_id: r.text for r in extract_main_text(pages_of(spark, rows), shard_words=60).collect()}
+    assert [got[r[0]] for r in rows[:-1]] == brute(rows[:-1]) and not any(prose(900, 14) in got[i] for i in range(45))
+    assert len(got[200]) == 140_000 * 5 - 1
