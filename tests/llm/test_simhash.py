@@ -153,3 +153,18 @@ def test_similar_edges(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect() if r.text != prose(1, 20_000)), key=str)
     assert [x for x in got if x[0] in (15, 16, 17)] == [(15, prose(2, 60))]
     assert kept.filter("doc_id = 11").count() == 1 and kept.filter("doc_id = 12").count() == 0
+
+
+def test_dense_groups_give_few_pairs(spark, monkeypatch):
+    """Copies further from each other than those that count as one, so that most of them lead."""
+    from millrace.llm import simhash
+
+    asked, judge = [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda pairs, *rest: asked.append(pairs.count()) or judge(pairs, *rest))
+    rows, base = [], [f"w{k}" for k in range(140)]
+    for i in range(132):
+        w = list(base)
+        w[4 + i] = f"a{i}"
+        rows.append((i, " ".join(w)))
+    got = [r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(got) == {0} and sum(asked) < 20 * len(rows), asked
