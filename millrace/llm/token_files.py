@@ -29,6 +29,8 @@ from .tokenizing import encoder
 
 #: Lengths of the four codes that a control byte describes, and the bits that a code of a length has.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
+#: Words that a worker remembers, about 200 bytes each: more than beside the pipeline's network.
+REMEMBER = 1_600_000
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
@@ -63,7 +65,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path, REMEMBER)
         end = np.array([end_id], coder.kind).tobytes()
         shard, place, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
@@ -87,7 +89,7 @@ def rank_ids(encoded: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path, REMEMBER)
         total = np.zeros(max(coder.size, end_id + 1), np.int64)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
@@ -97,7 +99,7 @@ def rank_ids(encoded: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
     rows = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(max(encoder(tokenizer_path).size, end_id + 1), np.int64)
+    total = np.zeros(max(encoder(tokenizer_path, REMEMBER).size, end_id + 1), np.int64)
     for r in rows:
         total[r.id] = r.n
     return np.lexsort((np.arange(len(total)), -total))
@@ -126,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     placed = placed.sortWithinPartitions("shard", "place").select("shard", "doc_id", "start", "n_tokens", "ids")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, table = encoder(tokenizer_path).kind, ranks.value
+        kind, table = encoder(tokenizer_path, REMEMBER).kind, ranks.value
         for batch in batches:
             coded = [pack(table[np.frombuffer(x.as_buffer(), kind)]) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["shard", "doc_id", "start", "n_tokens", "control", "data"])

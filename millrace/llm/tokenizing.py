@@ -6,12 +6,15 @@ import json
 import os
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import chunks
+from .common import CHUNK, chunks
 
+#: How a pattern begins that takes a run of letters as one word, unless a quote stands before it.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|"
 #: Trailing punctuation that a word-level tokenizer always splits from a letter or digit before it.
 TAIL = b".,!?%&*#$:;"
 
@@ -39,30 +42,52 @@ class Encoder:
         if self.by_word:
             self.ends = np.zeros(size, bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-            self.words: dict[bytes, bytes] = {}
+            self.letters = self._for_letters(path, config, splitters)
+            self.words: dict[bytes, bytes] = {b"": b""}
             self.older: dict[bytes, bytes] = {}
 
+    def _for_letters(self, path: str, config: dict, splitters: list[dict]):
+        """The same model for words of Latin-1 letters in lower case, which need neither normalising nor a pattern; None if that isn't sure."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        steps = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or config["normalizer"]["normalizers"][1]["pattern"] != {"Regex": "\\s+"}:
+            return None
+        if [s["type"] for s in splitters] != ["Split", "ByteLevel"] or not splitters[0]["pattern"].get("Regex", "").startswith(LETTERS):
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, packed as ``kind``."""
         if not self.by_word:
             return [self._whole(t) for t in texts]
         out: list[bytes] = []
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 4 * CHUNK):
             out += self._by_word(texts[a:b])
         return out
 
     def _by_word(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        missing = set(chain.from_iterable(split)).difference(self.words)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        found = coded.dictionary.view(pa.binary()).to_pylist()
+        missing = {w for w in found if w not in self.words}
         if missing:
             if len(self.words) + len(missing) > self.remember // 2:
-                self.older, self.words = self.words, {}
-                missing = set(chain.from_iterable(split))
+                self.older, self.words = self.words, {b"": b""}
+                missing = set(found)
+            missing.discard(b"")  # before and after white space at the ends
             known = missing.intersection(self.older)
             self.words.update((w, self.older[w]) for w in known)
             self._learn(missing - known)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # Arrow puts the ids of the words one after the other; its offsets cut them into texts.
+        ids = pa.array([self.words[w] for w in found], pa.binary()).take(coded.indices)
+        ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64))
+        raw = memoryview(ids.buffers()[2]) if ends[-1] else b""
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [bytes(raw[x:y]) for x, y in zip(cuts, cuts[1:])]
 
     def _whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -76,7 +101,7 @@ class Encoder:
         return unicodedata.category(text[-1:] or " ")[0] in "LN"
 
     def _learn(self, missing: set[bytes]) -> None:
-        words, parts, plain, odd = self.words, {}, set(), set()
+        words, parts, plain, latin, odd = self.words, {}, set(), set(), set()
         for word in missing:
             core = word.rstrip(TAIL)
             if len(core) < len(word) and core and (core[-1:].isalnum() or self._ends_in_letter(core)):
@@ -87,19 +112,21 @@ class Encoder:
             else:
                 core = word
             if core not in words:
-                (plain if core.decode("utf-8", "replace").isalpha() else odd).add(core)
-        plain -= odd
-        self._learn_letters(list(plain))
+                text = core.decode("utf-8", "replace")
+                (odd if not text.isalpha() else latin if self.letters and max(text) < "\u0100" else plain).add(core)
+        self._learn_letters(list(plain - odd), self.tokenizer)
+        self._learn_letters(list(latin - odd), self.letters)
         for word in odd:
             words[word] = self._whole(word)
         for word, core in parts.items():
             words[word] = words[core] + words[word[len(core) :]]
 
-    def _learn_letters(self, cores: list[bytes]) -> None:
+    def _learn_letters(self, cores: list[bytes], tokenizer) -> None:
         """Many words in one call; the marks at their ends cut the ids apart again."""
         for i in range(0, len(cores), 512):
             some = cores[i : i + 512]
-            joined = self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+            text = b" ".join(some).decode("utf-8", "replace")
+            joined = tokenizer.encode_batch_fast([text.lower() if tokenizer is self.letters else text], add_special_tokens=False)[0].ids
             ids = np.array(joined, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some) or (len(ids) and cuts[-1] != len(ids)):  # a letter that becomes more than letters
@@ -113,9 +140,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = 400_000) -> Encoder:
     """One for each Python worker and file; tasks that follow find its words known."""
-    return Encoder(path)
+    return Encoder(path, remember)
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:

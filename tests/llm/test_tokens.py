@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm.packing import first_fit_decreasing, pack_documents
 from millrace.llm.token_files import pack, read_token_files, token_file_digests, unpack, write_token_files
-from millrace.llm.tokenizing import encoder, public_path
+from millrace.llm.tokenizing import Encoder, encoder, public_path
 
 PATH = public_path()
 
@@ -50,6 +50,17 @@ def test_letters_that_end_in_a_mark_once_normalised():
     assert [w for w, a, b in zip(words, got, whole) if a != b] == []
 
 
+def test_words_of_letters_are_learned_without_the_pattern():
+    """Latin-1 letters of both cases take the shorter way, and give the ids of the whole tokenizer."""
+    coder = Encoder(PATH)
+    assert coder.letters is not None
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = [f"{a}{b}{tail}" for a in letters for b in "aZ\u00dfÉ" for tail in ("", "the", "the.")]
+    whole = [e.ids for e in coder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    got = [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode([f" {w}\t".encode() for w in words])]
+    assert [w for w, a, b in zip(words, got, whole) if a != b] == []
+
+
 def test_token_files(spark, tmp_path, encode):
     docs = edge_docs(spark)
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
