@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 from .tokenizing import encoder
 
 
@@ -60,7 +60,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int, i
             yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("doc_id").take(of), *(pa.array(c, pa.int64()) for c in out[1:])], ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, f"row long, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return read.mapInArrow(tidied(run, encoder), f"row long, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, group_pieces: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

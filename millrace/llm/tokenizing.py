@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import CHUNK, chunks
+from .common import CHUNK, KEPT, chunks
 
 #: How a pattern begins that takes a run of letters as one word, unless a quote stands before it.
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|"
@@ -145,6 +145,9 @@ def encoder(path: str, remember: int = 400_000) -> Encoder:
     return Encoder(path, remember)
 
 
+KEPT.append(encoder)
+
+
 def public_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

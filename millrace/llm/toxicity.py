@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, chunks
+from .common import CHUNK, chunks, tidied
 from .gru import LONGEST_WORD, Adam, Shape, every_window_logits, gradients, new_parameters, projected, window_logits, windows_of, word_features
 
 #: Windows of the training sample that are scored together.
@@ -265,7 +265,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
+    return read.mapInArrow(tidied(run), f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

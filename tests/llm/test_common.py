@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import packing, simhash, toxicity
 from millrace.llm.common import spread_join, staged, unstage
+from millrace.llm.tokenizing import encoder, public_path
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -23,3 +25,32 @@ def test_staged_frames_are_deleted(spark):
     unstage(frame)
     with pytest.raises(Exception):
         spark.read.schema(frame.schema).parquet(frame.staged_path).count()
+
+
+class Caught:
+    """In place of a table: gives the function that its tasks would run."""
+
+    def __init__(self, df):
+        self.schema, self.sparkSession = df.schema, df.sparkSession
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def withColumnRenamed(self, old, new):
+        return self
+
+
+def test_tasks_of_the_pipeline_take_over_no_cache_of_others(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    model = {"net": toxicity.new_parameters(toxicity.Shape(), 1), "window": 16, "excess": toxicity.np.zeros((2, 1 << toxicity.COUNT_BITS), "f4")}
+    near = simhash.fingerprints(Caught(docs), 5, 256, "doc_id", "text", sets=True).run
+    scoring = toxicity.score_toxicity(Caught(docs), model).run
+    packed = packing.cut_pieces(Caught(docs), public_path(), 2, 4096, "doc_id", "text").run
+    for run, kept in ((near, 0), (scoring, 0), (packed, 1)):
+        encoder(public_path())
+        assert list(run(iter([]))) == []
+        assert encoder.cache_info().currsize == kept
