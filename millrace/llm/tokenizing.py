@@ -73,17 +73,18 @@ class Encoder:
         split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
         coded = split.flatten().dictionary_encode()
         found = coded.dictionary.view(pa.binary()).to_pylist()
-        missing = {w for w in found if w not in self.words}
-        if missing:
+        of_word = list(map(self.words.get, found))
+        if None in of_word:
+            missing = [w for w, x in zip(found, of_word) if x is None]
             if len(self.words) + len(missing) > self.remember // 2:
-                self.older, self.words = self.words, {b"": b""}
-                missing = set(found)
-            missing.discard(b"")  # before and after white space at the ends
-            known = missing.intersection(self.older)
-            self.words.update((w, self.older[w]) for w in known)
-            self._learn(missing - known)
+                self.older, self.words = self.words, {b"": b""}  # no word before and after white space at the ends
+                missing = [w for w in found if w]
+            before = list(map(self.older.get, missing))
+            self.words.update((w, x) for w, x in zip(missing, before) if x is not None)
+            self._learn([w for w, x in zip(missing, before) if x is None])
+            of_word = list(map(self.words.__getitem__, found))
         # Arrow puts the ids of the words one after the other; its offsets cut them into texts.
-        ids = pa.array([self.words[w] for w in found], pa.binary()).take(coded.indices)
+        ids = pa.array(of_word, pa.binary()).take(coded.indices)
         ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64))
         raw = memoryview(ids.buffers()[2]) if ends[-1] else b""
         cuts = ends[split.offsets.to_numpy()].tolist()
@@ -100,9 +101,13 @@ class Encoder:
             text = self.tokenizer.normalizer.normalize_str(text)
         return unicodedata.category(text[-1:] or " ")[0] in "LN"
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> None:
         words, parts, plain, latin, odd = self.words, {}, set(), set(), set()
+        if self.letters:
+            latin.update(filter(bytes.isalpha, missing))  # A-Z and a-z alone
         for word in missing:
+            if word in latin:
+                continue
             core = word.rstrip(TAIL)
             if len(core) < len(word) and core and (core[-1:].isalnum() or self._ends_in_letter(core)):
                 parts[word] = core

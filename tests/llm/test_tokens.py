@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 import uuid
 import zlib
 
@@ -124,3 +125,37 @@ def test_packing(spark, encode, group_pieces):
             at += n
         assert at <= 512
     assert pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_known_words_are_looked_up_once():
+    class Counting(dict):
+        n = 0
+
+        def get(self, key, default=None):
+            self.n += 1
+            return dict.get(self, key, default)
+
+        def __getitem__(self, key):
+            self.n += 1
+            return dict.__getitem__(self, key)
+
+        def __contains__(self, key):
+            self.n += 1
+            return dict.__contains__(self, key)
+
+    coder = Encoder(public_path())
+    text = b"some words of one text, some of them twice"
+    first = coder.encode([text])
+    coder.words = Counting(coder.words)
+    assert coder.encode([text]) == first and coder.words.n == len(set(text.split()))
+
+
+def test_decoding_takes_few_bytes_for_each_id():
+    ranks = np.random.default_rng(1).integers(0, 1 << 18, 200_000)
+    control, data = pack(ranks)
+    tracemalloc.start()
+    got = unpack(control, data, len(ranks))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == ranks).all() and most < 40 * len(ranks)
+    assert unpack(b"", b"", 0).tolist() == []
