@@ -168,3 +168,28 @@ def test_dense_groups_give_few_pairs(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = [r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert set(got) == {0} and sum(asked) < 20 * len(rows), asked
+
+
+def test_dense_groups_below_the_similarity_give_few_rows(spark, monkeypatch):
+    """Copies of which all are candidates of each other, and none as similar as asked for."""
+    from millrace.llm import simhash
+
+    asked, judge = [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda rows, *rest: asked.append(rows.count()) or judge(rows, *rest))
+    draw, rows, base = random.Random(4), [], [f"w{k}" for k in range(400)]
+    for i in range(200):
+        w = list(base)
+        for k in draw.sample(range(0, 400, 5), 7):
+            w[k] = f"a{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 200, 50)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: i for i, _ in rows}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = want[i], want[j]
+                want = {k: min(old, new) if v in (old, new) else v for k, v in want.items()}
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 100 and got == want
+    assert sum(asked) < 20 * len(rows), asked
